@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import chat_format, source_mix, url_filter
+from kinloom.llm import chat_format, quality_rules, source_mix, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op4_source_mix": source_mix.op4_source_mix,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 SQL: dict[str, str] = {
     "op1_url_filters": url_filter.SQL,
     "op4_source_mix": source_mix.SQL,
     "op6_chat_format": chat_format.SQL,
+    "op8_quality_rules": quality_rules.SQL,
 }
