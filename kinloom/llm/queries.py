@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import chat_format, quality_rules, source_mix, url_filter
+from kinloom.llm import byte_bpe, chat_format, quality_rules, source_mix, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op4_source_mix": source_mix.op4_source_mix,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
