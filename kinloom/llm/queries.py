@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import byte_bpe, chat_format, quality_rules, source_mix, url_filter
+from kinloom.llm import byte_bpe, chat_format, quality_rules, source_mix, url_filter, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_exact_topk": vector_topk.op9_exact_topk,
 }
 
 SQL: dict[str, str] = {
@@ -21,4 +22,5 @@ SQL: dict[str, str] = {
     "op4_source_mix": source_mix.SQL,
     "op6_chat_format": chat_format.SQL,
     "op8_quality_rules": quality_rules.SQL,
+    "op9_exact_topk": vector_topk.SQL,
 }
