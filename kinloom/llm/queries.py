@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import byte_bpe, chat_format, quality_rules, source_mix, url_filter, vector_topk
+from kinloom.llm import byte_bpe, chat_format, html_text, quality_rules, source_mix, url_filter, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_exact_topk": vector_topk.op9_exact_topk,
+    "op10_html_extraction": html_text.op10_html_extraction,
 }
 
 SQL: dict[str, str] = {

@@ -64,7 +64,7 @@ def plan_sizes(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     head = targets.agg(F.max("level"), F.max("budget")).first()
     level, budget = float(head[0] or 0), float(head[1] or 0)
     rows = slim.count()
-    bits = max(4, min(24, (rows // 2000).bit_length()))
+    bits = max(4, min(24, (rows // 256).bit_length()))
     # Running words within a source: buckets by leading bits of the hash, a running sum in each, plus what the buckets before hold.
     bucket = F.shiftright(F.conv(F.substring("key", 1, 6), 16, 10).cast("int"), 24 - bits)
     filed = slim.withColumn("_b", bucket)
@@ -111,10 +111,8 @@ def plan_sizes(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: columns of docs, each row repeated as often as it is sent, range-sorted by virtual finish time."""
     how = {"seed": "mix"} | how
-    names = {how.get(k, k): how.get(k, k) for k in ("doc_id", "text", "source")}
     source, doc_id, text = (how.get(k, k) for k in ("source", "doc_id", "text"))
     plan = mix_plan(docs, **how)
-    assert names
     plan = plan.where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("finish1").alias("_f1"), F.max("finish2").alias("_f2"), F.max("copies").alias("_c"))
     plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "_f1", "_f2", "_c")
     on = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_src")) & (word_count(F.col(text)) == F.col("_size"))
