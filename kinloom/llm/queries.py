@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import byte_bpe, chat_format, html_text, quality_rules, source_mix, url_filter, vector_topk
+from kinloom.llm import byte_bpe, chat_format, html_text, jaccard_join, quality_rules, source_mix, url_filter, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_source_mix": source_mix.op4_source_mix,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_url_filters": url_filter.SQL,
+    "op3_jaccard_join": jaccard_join.SQL,
     "op4_source_mix": source_mix.SQL,
     "op6_chat_format": chat_format.SQL,
     "op8_quality_rules": quality_rules.SQL,
