@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import byte_bpe, chat_format, html_text, jaccard_join, language_id, quality_rules, source_mix, url_filter, vector_topk
+from kinloom.llm import byte_bpe, chat_format, html_text, jaccard_join, language_id, quality_rules, recurrent_lm, source_mix, url_filter, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_language_id": language_id.op2_language_id,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_source_mix": source_mix.op4_source_mix,
+    "op5_recurrent_lm": recurrent_lm.op5_recurrent_lm,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
