@@ -29,46 +29,8 @@ from pyspark.sql import types as T
 
 from kinloom.runtime import ship
 
-#: Pre-tokens in a cache generation; two generations at most, some 250 bytes an entry.
-CACHE = 150_000
-
-
-class RankQueue:
-    """Priority queue of (rank, position): buckets by rank under a bitmap of three levels of 64-bit words."""
-
-    def __init__(self, ranks: int):
-        words = (ranks >> 6) + 1
-        self.low, self.mid, self.top = [0] * words, [0] * ((words >> 6) + 1), 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[word >> 6] |= 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
-
-    def pop(self) -> tuple[int, int]:
-        """The lowest rank's leftmost position; the queue must not be empty (top is 0 then)."""
-        over = (self.top & -self.top).bit_length() - 1
-        mid = self.mid[over]
-        word = (over << 6) + (mid & -mid).bit_length() - 1
-        low = self.low[word]
-        rank = (word << 6) + (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] = low = low & (low - 1)
-            if not low:
-                self.mid[over] = mid = mid & (mid - 1)
-                if not mid:
-                    self.top &= self.top - 1
-        return rank, position
+#: Pre-tokens in a cache generation (a text may exceed it by its own ones); two generations at most, some 250 bytes an entry.
+CACHE = 450_000
 
 
 class Codec:
@@ -80,53 +42,83 @@ class Codec:
         self.longest = max(map(len, self.ranks))
         # The pattern's \s is White_Space; this engine's own \s has four control characters more.
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.queue = RankQueue(max(self.tokens) + 1)
+        # The rank queue: buckets of positions by rank, under a bitmap of three levels of 64-bit words (the top one is local to merge).
+        words = (max(self.tokens) >> 6) + 1
+        self.low, self.mid = [0] * words, [0] * ((words >> 6) + 1)
+        self.buckets: dict[int, list[int]] = {}
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        rank_of, longest, queue, n = self.ranks.get, self.longest, self.queue, len(piece)
+        """Ids of one pre-token. The queue's steps are written out: a call would cost as much as a step."""
+        rank_of, longest, n = self.ranks.get, self.longest, len(piece)
         whole = rank_of(piece) if n <= longest else None
         if whole is not None:
             return [whole]
+        low, mid, top, buckets = self.low, self.mid, 0, self.buckets  # all empty between calls
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         waiting = [-1] * n  # the rank under which the pair that starts here waits now
-        push, pop = queue.push, queue.pop
         for i in range(n - 1):
             rank = rank_of(piece[i : i + 2])
             if rank is not None:
                 waiting[i] = rank
-                push(rank, i)
-        while queue.top:
-            rank, i = pop()
+                if rank in buckets:
+                    buckets[rank].append(i)  # positions rise here
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> 6
+                    low[word] |= 1 << (rank & 63)
+                    mid[word >> 6] |= 1 << (word & 63)
+                    top |= 1 << (word >> 6)
+        while top:
+            # find first set, three times
+            over = (top & -top).bit_length() - 1
+            bits = mid[over]
+            word = (over << 6) + (bits & -bits).bit_length() - 1
+            bits = low[word]
+            rank = (word << 6) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                bits &= bits - 1
+                low[word] = bits
+                if not bits:
+                    mid[over] &= mid[over] - 1
+                    if not mid[over]:
+                        top &= top - 1
             if waiting[i] != rank:
-                continue
+                continue  # stale
             second = after[i]
             end = after[second]
-            waiting[second] = -1
+            waiting[second] = waiting[i] = -1
             after[i] = end
-            fresh = None
+            left = before[i]
+            changed = []
             if end < n:
                 before[end] = i
                 if after[end] - i <= longest:
-                    fresh = rank_of(piece[i : after[end]])
-            if fresh is None:
-                waiting[i] = -1
-            else:
-                waiting[i] = fresh
-                push(fresh, i)
-            left = before[i]
+                    changed.append((i, rank_of(piece[i : after[end]])))
             if left >= 0:
-                fresh = rank_of(piece[left:end]) if end - left <= longest else None
-                if fresh is None:
-                    waiting[left] = -1
-                elif waiting[left] != fresh:
-                    waiting[left] = fresh
-                    push(fresh, left)
-        out, i = [], 0
+                waiting[left] = -1
+                if end - left <= longest:
+                    changed.append((left, rank_of(piece[left:end])))
+            for at, rank in changed:
+                if rank is not None:
+                    waiting[at] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], at)
+                    else:
+                        buckets[rank] = [at]
+                        word = rank >> 6
+                        low[word] |= 1 << (rank & 63)
+                        mid[word >> 6] |= 1 << (word & 63)
+                        top |= 1 << (word >> 6)
+        out, i, ranks = [], 0, self.ranks
         while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
+            out.append(ranks[piece[i : after[i]]])
             i = after[i]
         return out
 
@@ -135,15 +127,16 @@ class Codec:
         if ids is None:
             ids = tuple(self.merge(piece.encode()))
         if len(piece) <= 64:
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
             self.young[piece] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {}
         out: list[int] = []
+        known, miss = self.young.get, self._miss
         for piece in self.split(text):
-            out.extend(self.young.get(piece) or self._miss(piece))
+            out += known(piece) or miss(piece)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
