@@ -147,7 +147,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     left = packed.withColumn("block", F.explode(F.array(*[F.lit(x).cast("long") for x in numbers])))
     right = asked.select("dims", "block", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = left.join(right, ["block", "salt", "dims"]).select("dims", "q_ids", "q_matrix", "ids", "matrix")
+    # A merge join on purpose: packed blocks look small to the planner, and a broadcast of them would grow with the queries.
+    met = left.join(right.hint("merge"), ["block", "salt", "dims"]).select("dims", "q_ids", "q_matrix", "ids", "matrix")
     found = met.mapInArrow(_searcher(k), _TOP)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
