@@ -209,3 +209,47 @@ def external_calls(tokens_by_file: DataFrame, nodes: DataFrame, key: str = "file
     called = spots.withColumn("n", F.lead("t").over(order)).where((F.col("n") == "(") & F.col("t").rlike("^[A-Za-z_]") & ~F.col("t").isin("if", "for", "while", "switch", "catch", "synchronized", "return", "new"))
     declared = nodes.where("label = 'MethodDeclaration'").select(key, F.col("name").alias("t"))
     return called.select(key, "t").distinct().join(declared, [key, "t"], "left_anti").withColumnRenamed("t", "call")
+
+
+def tree_profile(nodes: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, nodes, methods, largest, median, trivial): sizes of a file's tree and its methods; the median is the mean of the middle two."""
+    size = F.when(F.col("label") == "MethodDeclaration", F.col("subtree_size"))
+    return nodes.groupBy(key).agg(
+        F.count("*").alias("nodes"), F.count(size).alias("methods"), F.coalesce(F.max(size), F.lit(0)).alias("largest"),
+        F.coalesce(F.percentile(size, F.lit(0.5)), F.lit(0.0)).alias("median"), F.count_if(size <= 8).alias("trivial"),
+    )
+
+
+STATEMENTS = ("ExpressionStmt", "VariableDeclarationStmt", *SIMPLE.values(), *CONTROL.values())
+
+
+def tree_regions(nodes: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, region_id, kind, begin_line, end_line): files, methods, bodies, control statements, and blocks of two statements or more."""
+    children = nodes.where(F.col("label").isin(*STATEMENTS)).groupBy(key, F.col("parent_id").alias("node_id")).agg(F.count("*").alias("stmts"))
+    parents = nodes.select(key, F.col("node_id").alias("parent_id"), F.col("label").alias("above"))
+    joined = nodes.join(children, [key, "node_id"], "left").join(parents, [key, "parent_id"], "left")
+    block = F.col("label") == "BlockStmt"
+    kinds = F.array_compact(
+        F.array(
+            F.when(F.col("label") == "CompilationUnit", "FILE"), F.when(F.col("label") == "MethodDeclaration", "METHOD"), F.when(block & (F.col("above") == "MethodDeclaration"), "METHOD_BODY_REGION"),
+            F.when(block & (F.col("stmts") >= 2), "BLOCK_SEQUENCE_REGION"), F.when(F.col("label").isin(*CONTROL.values()), "CONTROL_REGION"),
+        )
+    )
+    found = joined.select(key, "node_id", "begin_line", "end_line", F.explode(kinds).alias("kind"))
+    return found.select(key, F.concat_ws(":", "kind", F.col("node_id").cast("string")).alias("region_id"), "kind", "begin_line", "end_line")
+
+
+def region_of_lines(nodes: DataFrame, lines: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, region, node_id, begin_line, end_line): outermost statements that overlap a region's lines (key, region, line)."""
+    hit = lines.groupBy(key, "region").agg(F.collect_set("line").alias("ls")).join(nodes.where(F.col("label").isin(*STATEMENTS)), key)
+    hit = hit.where(F.exists("ls", lambda x: (x >= F.col("begin_line")) & (x <= F.col("end_line")))).select(key, "region", "node_id", "subtree_size", "begin_line", "end_line")
+    # In pre-order a node lies inside another if its number falls into the other's subtree: the furthest end so far tells.
+    order = Window.partitionBy(key, "region").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.col("node_id") + F.col("subtree_size")).over(order)
+    return hit.withColumn("_reach", F.coalesce(reach, F.lit(-1))).where("node_id >= _reach").drop("_reach", "subtree_size")
+
+
+def own_tokens(nodes: DataFrame, tokens: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, node_id, pos, tok): tokens of a statement that no nested statement holds. tokens: (key, pos, tok, node_id of the innermost statement)."""
+    kept = nodes.where(F.col("label").isin(*STATEMENTS)).select(key, "node_id")
+    return tokens.join(kept, [key, "node_id"], "left_semi").select(key, "node_id", "pos", "tok")

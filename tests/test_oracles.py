@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+import kinloom.plans.program_queries  # noqa: F401
 from kinloom.plans.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
