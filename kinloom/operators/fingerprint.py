@@ -38,13 +38,13 @@ def fingerprint_pairs(prints: DataFrame, key: str = "doc_id", most: int | None =
     documents (their pairs alone would be quadratic); ``least`` is a Jaccard threshold whose length filter
     is part of the join.
     """
+    # Distinct and counted by document: winnowing has dealt the rows by document already, so neither moves them again.
     sets = prints.select(key, "hash").distinct()
-    sized = sets.groupBy(key).agg(F.count("*").alias("n"))
+    sets = sets.select(key, "hash", F.count("*").over(Window.partitionBy(key)).alias("n"))
     if most is not None:
         rare = sets.groupBy("hash").agg(F.count("*").alias("df")).where(F.col("df").between(2, most)).select("hash")
         sets = sets.join(rare, "hash")
-    own = sets.join(sized, key)
-    a, b = (own.select("hash", F.col(key).alias(f"{s}_id"), F.col("n").alias(f"n_{s}")) for s in ("left", "right"))
+    a, b = (sets.select("hash", F.col(key).alias(f"{s}_id"), F.col("n").alias(f"n_{s}")) for s in ("left", "right"))
     fits = (F.col("left_id") < F.col("right_id")) & (F.least("n_left", "n_right") >= F.greatest("n_left", "n_right") * least)
     shared = a.join(b, "hash").where(fits).groupBy("left_id", "right_id", "n_left", "n_right").agg(F.count("*").alias("inter"))
     return shared.select(

@@ -72,8 +72,8 @@ def best_matches(scored: DataFrame, side: str) -> DataFrame:
 
 
 def merge_directions(scored: DataFrame) -> DataFrame:
-    """Pairs that are best in one direction or both; both rankings in one pass over each side's window, no join."""
-    both = scored.withColumn("_f", _ranked(scored, "method_a") == 1).withColumn("_b", _ranked(scored, "method_b") == 1).where("_f or _b")
+    """Pairs that are best in one direction or both; no join. Dealt by file pair once, which serves both rankings and what follows by pair."""
+    both = scored.repartition("pair_id").withColumn("_f", _ranked(scored, "method_a") == 1).withColumn("_b", _ranked(scored, "method_b") == 1).where("_f or _b")
     way = F.when(F.col("_f") & F.col("_b"), "BIDIRECTIONAL").when(F.col("_f"), "A_TO_B_ONLY").otherwise("B_TO_A_ONLY")
     weight = F.col("match_score") * F.least(F.lit(1.0), F.least("size_a", "size_b") / SMALL_METHOD)
     return both.select(*scored.columns, way.alias("direction"), (F.col("_f") & F.col("_b")).alias("confirmed"), weight.alias("weight"))
