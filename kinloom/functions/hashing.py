@@ -27,6 +27,14 @@ def fnv(text: str, offset: int = TOKEN_OFFSET) -> int:
     return h
 
 
+def subtree(label: str, kids: list[int]) -> int:
+    """Hash of a tree node over its children's hashes, in order, modulo 2**64."""
+    h = fnv(label, STANDARD_OFFSET)
+    for k in kids:
+        h = (h * TREE_MULTIPLIER & _MASK) ^ k
+    return h
+
+
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     """Polynomial hashes modulo 2**64 of each k consecutive token hashes; none if there are fewer."""
     m = len(hashes) - k + 1

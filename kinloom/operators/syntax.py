@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinloom.functions.hashing import subtree
+
 _TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*\"?|'(?:\\.|[^'\\])*'?|[^\W\d]\w*|\$\w+|\d[\w.]*|->|::|[-+*/%&|^=!<>]=|&&|\|\||\+\+|--|\S", re.S)
 CONTROL = {"if": "IfStmt", "for": "ForStmt", "while": "WhileStmt", "do": "DoStmt", "switch": "SwitchStmt", "try": "TryStmt", "synchronized": "SynchronizedStmt"}
 SIMPLE = {"return": "ReturnStmt", "throw": "ThrowStmt", "break": "BreakStmt", "continue": "ContinueStmt"}
@@ -253,3 +255,45 @@ def own_tokens(nodes: DataFrame, tokens: DataFrame, key: str = "file_id") -> Dat
     """(key, node_id, pos, tok): tokens of a statement that no nested statement holds. tokens: (key, pos, tok, node_id of the innermost statement)."""
     kept = nodes.where(F.col("label").isin(*STATEMENTS)).select(key, "node_id")
     return tokens.join(kept, [key, "node_id"], "left_semi").select(key, "node_id", "pos", "tok")
+
+
+def _shape(rows: list[dict]) -> list[list[int]]:
+    """Children (positions) of each of a pre-order list of nodes with depths."""
+    kids: list[list[int]] = [[] for _ in rows]
+    open_: list[int] = []
+    for i, r in enumerate(rows):
+        while open_ and rows[open_[-1]]["depth"] >= r["depth"]:
+            open_.pop()
+        if open_:
+            kids[open_[-1]].append(i)
+        open_.append(i)
+    return kids
+
+
+def postorder(rows: list[dict]) -> list[tuple[int, str]]:
+    """(leftmost leaf, label) in postorder, from nodes in pre-order with depth and label."""
+    kids, number, out = _shape(rows), {}, []
+    for i in _after(kids):
+        leaf = number[kids[i][0]][1] if kids[i] else len(out)
+        number[i] = (len(out), leaf)
+        out.append((leaf, rows[i]["label"]))
+    return out
+
+
+def _after(kids: list[list[int]]) -> list[int]:
+    """Positions in postorder, children before their parent."""
+    out, stack = [], [0] if kids else []
+    while stack:
+        i = stack.pop()
+        out.append(i)
+        stack.extend(kids[i])
+    return out[::-1]
+
+
+def subtree_hashes(rows: list[dict], least: int = 3) -> set[int]:
+    """Hashes of all subtrees of ``least`` nodes or more, from nodes in pre-order."""
+    kids = _shape(rows)
+    done: dict[int, tuple[int, int]] = {}
+    for i in _after(kids):
+        done[i] = (subtree(rows[i]["label"], [done[k][0] for k in kids[i]]), 1 + sum(done[k][1] for k in kids[i]))
+    return {h for h, n in done.values() if n >= least}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import report
 from kinloom.operators import graphs, neighbours, programs, semantic, syntax
+from kinloom.plans import signals
 from kinloom.plans.fixtures import load, with_
 from kinloom.plans.queries import feats, java_files, query, rounded
 from kinloom.runtime import ship
@@ -225,3 +226,12 @@ def loop_counts(spark, d):
     return load(spark, d, "edges").select("graph_id", "src", "dst").distinct().groupBy("graph_id").applyInArrow(run, "graph_id long, loops long")
 
 
+
+
+@query()
+def five_signals(spark, d):
+    """Sources written for these queries, each against the next."""
+    ship(spark)
+    files = java_files(spark, d)
+    wanted = files.select(F.col("file_id").alias("pair_id"), F.col("file_id").alias("file_a"), ((F.col("file_id") + 1) % 25).alias("file_b"))
+    return rounded(signals.five_signals(files, wanted))

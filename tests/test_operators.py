@@ -148,6 +148,28 @@ def test_parser(spark):
     assert sorted(r["call"] for r in calls.collect()) == ["g", "h"]
 
 
+def test_trees():
+    rows = [{"depth": 0, "label": "r"}, {"depth": 1, "label": "a"}, {"depth": 2, "label": "x"}, {"depth": 2, "label": "y"}, {"depth": 1, "label": "b"}]
+    assert syntax.postorder(rows) == [(0, "x"), (1, "y"), (0, "a"), (3, "b"), (0, "r")]
+    leaf = lambda x: hashing.subtree(x, [])
+    a = hashing.subtree("a", [leaf("x"), leaf("y")])
+    assert syntax.subtree_hashes(rows) == {a, hashing.subtree("r", [a, leaf("b")])}
+    assert syntax.postorder([]) == [] and syntax.subtree_hashes([]) == set()
+
+
+def test_signals(spark):
+    from kinloom.plans import signals
+
+    same = "import a.B; class A { int x = 1; int f(int a) { if (a > 0) { return g(a); } return 1; } }"
+    other = "class Z { void q() { for (;;) { h(); } } void r() { try { k(); } finally { m(); } } }"
+    files = spark.createDataFrame([(1, same), (2, same), (3, other), (4, "")], "file_id int, text string")
+    wanted = spark.createDataFrame([(1, 1, 2), (2, 1, 3), (3, 4, 4)], "pair_id int, file_a int, file_b int")
+    got = {r["pair_id"]: r for r in signals.five_signals(files, wanted).collect()}
+    assert [got[1][f"s{i}"] for i in range(1, 6)] == [1.0] * 5 and got[1]["overall"] == 1.0
+    assert got[2]["s5"] == 0.0 and got[2]["overall"] < 0.6
+    assert got[3]["s5"] == -1.0
+
+
 def test_batch_workflow(spark, tmp_path):
     (tmp_path / "m.csv").write_text("pair_id,left_path,right_path\np1,a,b\n\np2,c\np3,d,e\n")
     manifest = sources.read_manifest(spark, str(tmp_path / "m.csv"))
