@@ -109,7 +109,10 @@ def plan_sizes(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: columns of docs, each row repeated as often as it is sent, range-sorted by virtual finish time."""
+    """The mix itself: columns of docs, each row repeated as often as it is sent, range-sorted by virtual finish time.
+
+    Rows that agree in id, source and size are sent alike, as often as the most sent of them.
+    """
     how = {"seed": "mix"} | how
     source, doc_id, text = (how.get(k, k) for k in ("source", "doc_id", "text"))
     plan = mix_plan(docs, **how)

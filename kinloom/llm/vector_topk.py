@@ -126,7 +126,7 @@ def _searcher(k: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 dims = batch.column("dims")[r].as_py()
-                side = lambda ids, m: (np.frombuffer(batch.column(ids)[r].as_py(), np.int64), np.frombuffer(batch.column(m)[r].as_py(), np.int64).reshape(-1, dims))  # noqa: B023, E731
+                side = lambda ids, m: (np.frombuffer(batch.column(ids)[r].as_py(), np.int64), np.frombuffer(batch.column(m)[r].as_py(), np.int64).reshape(len(batch.column(ids)[r].as_py()) // 8, dims))  # noqa: B023, E731
                 (qid, q), (cid, c) = side("q_ids", "q_matrix"), side("ids", "matrix")
                 for i in range(0, len(qid), QUERY_BLOCK):
                     qi, ci, score = search_block(qid[i : i + QUERY_BLOCK], q[i : i + QUERY_BLOCK], cid, c, k)
