@@ -39,18 +39,20 @@ from pyspark.sql import types as T
 
 from kinloom.llm import _words
 from kinloom.llm._graph import connected_components
-from kinloom.llm._store import materialize
+from kinloom.llm._store import discard, materialize
 from kinloom.runtime import ship
 
 WORDS, PERCENT = 5, 75
-#: Shingles in more documents than the larger of these are left out of segments: the most frequent MAX_FREQUENT (8 MB) at most.
-FREQUENT, FREQUENT_SHARE, MAX_FREQUENT = 64, 1 / 1000, 1_000_000
+#: Shingles seen in so many documents are left out of segments: the most frequent MAX_FREQUENT (8 MB) at most. Any choice is right, this one is cheap.
+FREQUENT, MAX_FREQUENT = 24, 1_000_000
 #: Segments for each one that the pigeonhole needs.
 SPARE = 1.15
 #: Signatures in a bucket, about.
 BUCKET = 2_000_000
 #: Pivots of a class that the first verification tries.
 FIRST = 2
+#: Larger groups that span components are tested in their task, smaller ones list their pairs.
+SMALL = 32
 #: Ids of documents to verify that are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 
@@ -161,7 +163,7 @@ def _scan(words: int):
             every = np.sort(np.concatenate([*first.values(), np.zeros(0, np.uint64)]))
             runs = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True]))) if len(every) else np.zeros(1, np.int64)
             count = np.diff(runs)
-            hot = count >= 3
+            hot = count >= 2
             if hot.any():
                 none = pa.nulls(int(hot.sum()), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, none, pa.array(every[runs[:-1]][hot].view(np.int64)), pa.array(count[hot].astype(np.int64))], schema=_SCAN_PA)
@@ -242,7 +244,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(starts, len(inside)))
         pivots = np.repeat(inside[starts], sizes)
         other = pivots != inside
-        links, times = np.unique(np.stack([pivots[other], inside[other]]), axis=1, return_counts=True)
+        links, times = np.unique(np.stack([inside[other], pivots[other]]), axis=1, return_counts=True)
+        best = np.lexsort((links[1], -times, links[0]))  # a member's most frequent pivot in this bucket
+        best = best[np.concatenate(([True], links[0][best][1:] != links[0][best][:-1]))] if len(best) else best
+        links, times = links[::-1, best], times[best]
         cells = [links[0], links[1], times.astype(np.int64), starts.astype(np.int64), inside]
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([np.ascontiguousarray(x).tobytes()]) for x in cells)], schema=_MET_PA)
 
@@ -286,56 +291,103 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, run, key, label) sorted by bucket and run to the distinct pairs of a run with two labels."""
-
-    def pairs(keys: list, labels: list) -> pa.RecordBatch:
-        k, lab = np.array(keys, np.int64), np.array(labels, np.int64)
-        found = []
-        for i in range(0, len(k), 2048):  # blocks bound the memory of a large group
-            x, y = np.nonzero((lab[i : i + 2048, None] != lab[None, :]) & (k[i : i + 2048, None] < k[None, :]))
-            found.append(np.stack([k[i : i + 2048][x], k[y]]))
-        both = np.concatenate(found, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[0])), pa.array(np.ascontiguousarray(both[1]))], ["a", "b"])
+def likely_pairs(keys: np.ndarray, labels: np.ndarray, shorts: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) of two labels whose 16-bit shortenings don't rule a link out, by blocks of a product of incidence matrices."""
+    sizes = np.array([len(x) for x in shorts], np.int64)
+    owner = np.repeat(np.arange(len(keys)), sizes)
+    value = np.concatenate(shorts).astype(np.int64)
+    # Equal values of one set are numbered, so that the intersection of multisets is one of sets.
+    fresh = np.concatenate(([True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])))
+    start = np.flatnonzero(fresh)
+    value = value * 4096 + np.minimum(np.arange(len(value)) - np.repeat(start, np.diff(np.append(start, len(value)))), 4095)
+    _, column, count = np.unique(value, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    width = int(column.max(initial=-1)) + 1
+    for i in range(0, len(keys), 256):
+        left = np.zeros((min(256, len(keys) - i), width), np.float32)
+        mine = (owner >= i) & (owner < i + 256)
+        left[owner[mine] - i, column[mine]] = 1
+        for j in range(0, len(keys), 256):
+            right = np.zeros((min(256, len(keys) - j), width), np.float32)
+            theirs = (owner >= j) & (owner < j + 256)
+            right[owner[theirs] - j, column[theirs]] = 1
+            common = left @ right.T
+            total = sizes[i : i + 256, None] + sizes[None, j : j + 256]
+            fits = (100 * common >= percent * (total - common)) & (labels[i : i + 256, None] != labels[None, j : j + 256]) & (keys[i : i + 256, None] < keys[None, j : j + 256])
+            x, y = np.nonzero(fits)
+            if len(x):
+                yield keys[i : i + 256][x], keys[j : j + 256][y]
+
+
+def _spanning(percent: int):
+    """Rows (bucket, run, key, label, short) sorted by bucket and run, the shortenings (run null) first, to pairs of runs with two labels: likely ones where the shortenings are there, else all."""
+
+    def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(keys: list, labels: list) -> Iterator[pa.RecordBatch]:
+            if keys:
+                k, lab = np.array(keys, np.int64), np.array(labels, np.int64)
+                if all(x in known for x in keys):
+                    found = likely_pairs(k, lab, [known[x] for x in keys], percent)
+                else:
+                    x, y = np.nonzero((lab[:, None] != lab[None, :]) & (k[:, None] < k[None, :]))
+                    found = [(k[x], k[y])]
+                for a, b in found:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        known: dict[int, np.ndarray] = {}
+        at, keys, labels = (None, None), [], []
+        for batch in batches:
+            for b, r, key, label, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (b, r) != at:
+                    yield from pairs(keys, labels)
+                    if b != at[0]:
+                        known = {}
+                    at, keys, labels = (b, r), [], []
+                if r is None:
+                    known[key] = np.frombuffer(short, np.uint16)
+                else:
+                    keys.append(key)
+                    labels.append(label)
+        yield from pairs(keys, labels)
 
-    at, keys, labels = None, [], []
-    for batch in batches:
-        for b, r, key, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (b, r) != at:
-                if keys:
-                    yield pairs(keys, labels)
-                at, keys, labels = (b, r), [], []
-            keys.append(key)
-            labels.append(label)
-    if keys:
-        yield pairs(keys, labels)
+    return spanning
 
 
-_SETS = T.StructType([T.StructField("key", T.LongType()), T.StructField("shingles", T.BinaryType())])
+_SETS = T.StructType([T.StructField("key", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("short", T.BinaryType())])
 
 
 def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["key", "shingles"])
+            found = list(shingle_sets(batch.column(1), words))
+            short = [np.sort((s >> _U(48)).astype(np.uint16)).tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(short, pa.binary())], ["key", "shingles", "short"])
 
     return sets
 
 
-def _verify(percent: int):
+def _most_common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted multisets; for 16-bit shortenings no less than that of the sets."""
+    (x, m), (y, n) = (np.unique(z, return_counts=True) for z in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(m[i], n[j]).sum())
+
+
+def _verify(percent: int, kind: type):
+    """Pairs (a, b, set of a, set of b) that may be linked; exactly those for whole hashes."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for r in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[r].as_py(), np.uint64) for c in (2, 3))
-                if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-                    continue
-                small, large = (a, b) if len(a) <= len(b) else (b, a)
-                common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                if 100 * common >= percent * (len(a) + len(b) - common):
-                    good.append(r)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], ["a", "b"])
+                a, b = (np.frombuffer(batch.column(c)[r].as_py(), kind) for c in (2, 3))
+                if min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)):
+                    common = _most_common(a, b)
+                    if 100 * common >= percent * (len(a) + len(b) - common):
+                        good.append(r)
+            keep = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
     return verify
 
@@ -346,9 +398,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scan = materialize(base.mapInArrow(_scan(words), _SCAN), "sets")
     member = scan.where("key is not null").select("doc_id", "key", "n")
-    rows, sized = scan.agg(F.count("n"), F.sum("n")).first()
-    least = max(FREQUENT, int(FREQUENT_SHARE * rows))
-    hot = scan.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("c")).where(F.col("c") >= least)
+    sized = scan.agg(F.sum("n")).first()[0]
+    hot = scan.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("c")).where(F.col("c") >= FREQUENT)
     hot = sorted((x["shingle"] % 2**64, x["c"]) for x in hot.orderBy(F.desc("c"), "shingle").limit(MAX_FREQUENT).collect())
     frequent = spark.sparkContext.broadcast(np.array([a for a, _ in hot], np.uint64))
     counts = spark.sparkContext.broadcast(np.array([b for _, b in hot], np.int64))
@@ -361,22 +412,31 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     first = materialize(links.withColumn("_r", best).where(F.col("_r") <= FIRST).select("a", "b"), "first")
     # Only classes in some group are verified: one document of each stands for it.
     inside = materialize(met.select("bucket", "runs", "inside").mapInArrow(_members, _MEMBERS), "members")
+    discard(met)
     known = inside.select("key").distinct()
     stand = materialize(member.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(known, "key"), "stand")
     few = stand.count() <= BROADCAST_IDS
     wanted = base.join(F.broadcast(stand) if few else stand, "doc_id").select("key", "text")
     sets = materialize(wanted.mapInArrow(_sets(words), _SETS).dropDuplicates(["key"]), "shingles")
-    side = lambda name: sets.select(F.col("key").alias(name), F.col("shingles").alias(f"of_{name}"))
-    verified = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(_verify(percent), _PAIRS)
+    side = lambda name, column: sets.select(F.col("key").alias(name), F.col(column).alias(f"of_{name}"))
+    met_by = lambda pairs, column, kind: pairs.join(side("a", column), "a").join(side("b", column), "b").select("a", "b", "of_a", "of_b").mapInArrow(_verify(percent, kind), _PAIRS)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Whole sets travel for the pairs that their 16-bit shortenings, a quarter of the size, can't rule out."""
+        return materialize(met_by(pairs, "shingles", np.uint64), "links")
 
-    linked = materialize(verified(first), "links")
+    linked = verified(materialize(met_by(first, "short", np.uint16), "likely"))
     labels = materialize(connected_components(linked, "a", "b"), "labels")
     named = inside.join(labels.select(F.col("node").alias("key"), "component"), "key", "left").select("bucket", "run", "key", F.coalesce("component", "key").alias("label"))
     named = materialize(named, "named")
-    torn = named.groupBy("bucket", "run").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket", "run")
-    apart = named.join(torn, ["bucket", "run"]).repartition("bucket", "run").sortWithinPartitions("bucket", "run").select("bucket", "run", "key", "label")
-    rest = materialize(apart.mapInArrow(_spanning, _PAIRS).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    more = materialize(verified(rest), "links")
+    torn = named.groupBy("bucket", "run").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x < y").select("bucket", "run", "size")
+    apart = materialize(named.join(torn, ["bucket", "run"]).select("bucket", "run", "key", "label", "size"), "apart")
+    # Shortenings of large groups' members go with the groups, once a bucket: pairs that these rule out are never listed.
+    brief = apart.where(F.col("size") > SMALL).select("bucket", "key").distinct().join(sets.select("key", "short"), "key").select("bucket", F.lit(None).cast("int").alias("run"), "key", F.lit(None).cast("long").alias("label"), "short")
+    beside = apart.drop("size").withColumn("short", F.lit(None).cast("binary")).unionByName(brief)
+    rest = beside.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("run")).mapInArrow(_spanning(percent), _PAIRS)
+    rest = materialize(rest.distinct(), "rest")
+    more = verified(materialize(met_by(rest, "short", np.uint16), "likely"))
     final = labels
     if not more.isEmpty():
         final = materialize(connected_components(linked.unionByName(more), "a", "b"), "labels")
@@ -384,6 +444,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "key")).alias("part")
     )
     placed = materialize(placed, "placed")
+    for done in (scan, first, inside, stand, sets, linked, labels, named, apart, rest, more, *([] if final is labels else [final])):
+        discard(done)  # all that the result rests on is in placed
     low = placed.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("low"))
     return placed.join(low, "part", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 

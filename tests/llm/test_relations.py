@@ -86,10 +86,10 @@ def near_copies(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize(("seed", "often"), [(1, 64), (2, 64), (3, 3), (4, 3), (5, 2)])
-def test_near_duplicates_are_brute_force(spark, monkeypatch, seed, often):
+@pytest.mark.parametrize(("seed", "often", "small"), [(1, 64, 32), (2, 64, 2), (3, 3, 2), (4, 3, 32), (5, 2, 3)])
+def test_near_duplicates_are_brute_force(spark, monkeypatch, seed, often, small):
     monkeypatch.setattr(jaccard_join, "FREQUENT", often)
-    monkeypatch.setattr(jaccard_join, "FREQUENT_SHARE", 0)
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
     rows = near_copies(seed) + [(1000 + i, *r[1:]) for i, r in enumerate(documents(seed, 8))]
     sets = {r[0]: shingle_set(r[1]) for r in rows}
     ids = sorted(sets)
