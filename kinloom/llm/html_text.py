@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from kinloom.runtime import ship
 
-HOT, BUCKET = 5000, 2000
+HOT, BUCKET = 1000, 500
 
 #: Elements by their part in a page.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
