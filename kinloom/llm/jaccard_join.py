@@ -291,8 +291,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def likely_pairs(keys: np.ndarray, labels: np.ndarray, shorts: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a < b) of two labels whose 16-bit shortenings don't rule a link out, by blocks of a product of incidence matrices."""
+def likely_pairs(keys: np.ndarray, labels: np.ndarray, shorts: list[np.ndarray], percent: int, forest: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) of two labels whose 16-bit shortenings don't rule a link out, by blocks of a product of incidence matrices; forest: one a block and b."""
     sizes = np.array([len(x) for x in shorts], np.int64)
     owner = np.repeat(np.arange(len(keys)), sizes)
     value = np.concatenate(shorts).astype(np.int64)
@@ -316,40 +316,61 @@ def likely_pairs(keys: np.ndarray, labels: np.ndarray, shorts: list[np.ndarray],
             total = sizes[i : i + 256, None] + sizes[None, j : j + 256]
             fits = (100 * common >= percent * (total - common)) & (labels[i : i + 256, None] != labels[None, j : j + 256]) & (keys[i : i + 256, None] < keys[None, j : j + 256])
             x, y = np.nonzero(fits)
+            if forest and len(x):
+                y, at = np.unique(y, return_index=True)
+                x = x[at]
             if len(x):
                 yield keys[i : i + 256][x], keys[j : j + 256][y]
 
 
-def _spanning(percent: int):
-    """Rows (bucket, run, key, label, short) sorted by bucket and run, the shortenings (run null) first, to pairs of runs with two labels: likely ones where the shortenings are there, else all."""
+def _spanning(percent: int, forest: bool):
+    """Rows (home, bucket, run, key, label, short) in order, a home's shortenings (bucket null) first, to pairs of groups with two labels.
+
+    Likely pairs where the shortenings are there, else all; with forest only some of them, a few for each member. A home's pairs come once.
+    """
 
     def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(keys: list, labels: list) -> Iterator[pa.RecordBatch]:
-            if keys:
-                k, lab = np.array(keys, np.int64), np.array(labels, np.int64)
-                if all(x in known for x in keys):
-                    found = likely_pairs(k, lab, [known[x] for x in keys], percent)
-                else:
-                    x, y = np.nonzero((lab[:, None] != lab[None, :]) & (k[:, None] < k[None, :]))
-                    found = [(k[x], k[y])]
-                for a, b in found:
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        def group(keys: list, labels: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            k, lab = np.array(keys, np.int64), np.array(labels, np.int64)
+            if all(x in known for x in keys):
+                yield from likely_pairs(k, lab, [known[x] for x in keys], percent, forest)
+            elif forest:
+                order = np.argsort(k)
+                k, lab = k[order], lab[order]
+                one = np.sort(np.unique(lab, return_index=True)[1])
+                yield np.repeat(k[one[0]], len(one) - 1), k[one[1:]]
+            else:
+                x, y = np.nonzero((lab[:, None] != lab[None, :]) & (k[:, None] < k[None, :]))
+                yield k[x], k[y]
+
+        def flush(found: list) -> Iterator[pa.RecordBatch]:
+            both = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[0])), pa.array(np.ascontiguousarray(both[1]))], ["a", "b"])
 
         known: dict[int, np.ndarray] = {}
-        at, keys, labels = (None, None), [], []
+        at, keys, labels, found, held = (None, None, None), [], [], [], 0
         for batch in batches:
-            for b, r, key, label, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (b, r) != at:
-                    yield from pairs(keys, labels)
-                    if b != at[0]:
+            for home, b, r, key, label, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (home, b, r) != at:
+                    if keys:
+                        for x, y in group(keys, labels):
+                            found.append(np.stack([x, y]))
+                            held += len(x)
+                    if found and (home != at[0] or held > 1 << 20):
+                        yield from flush(found)
+                        found, held = [], 0
+                    if home != at[0]:
                         known = {}
-                    at, keys, labels = (b, r), [], []
-                if r is None:
+                    at, keys, labels = (home, b, r), [], []
+                if b is None:
                     known[key] = np.frombuffer(short, np.uint16)
                 else:
                     keys.append(key)
                     labels.append(label)
-        yield from pairs(keys, labels)
+        if keys:
+            found += [np.stack(p) for p in group(keys, labels)]
+        if found:
+            yield from flush(found)
 
     return spanning
 
@@ -427,24 +448,38 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     linked = verified(materialize(met_by(first, "short", np.uint16), "likely"))
     labels = materialize(connected_components(linked, "a", "b"), "labels")
-    named = inside.join(labels.select(F.col("node").alias("key"), "component"), "key", "left").select("bucket", "run", "key", F.coalesce("component", "key").alias("label"))
-    named = materialize(named, "named")
-    torn = named.groupBy("bucket", "run").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x < y").select("bucket", "run", "size")
-    apart = materialize(named.join(torn, ["bucket", "run"]).select("bucket", "run", "key", "label", "size"), "apart")
-    # Shortenings of large groups' members go with the groups, once a bucket: pairs that these rule out are never listed.
-    brief = apart.where(F.col("size") > SMALL).select("bucket", "key").distinct().join(sets.select("key", "short"), "key").select("bucket", F.lit(None).cast("int").alias("run"), "key", F.lit(None).cast("long").alias("label"), "short")
-    beside = apart.drop("size").withColumn("short", F.lit(None).cast("binary")).unionByName(brief)
-    rest = beside.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("run")).mapInArrow(_spanning(percent), _PAIRS)
-    rest = materialize(rest.distinct(), "rest")
-    more = verified(materialize(met_by(rest, "short", np.uint16), "likely"))
+    def across(labels: DataFrame, forest: bool) -> DataFrame:
+        """Verified links between members of a group that labels keep apart."""
+        named = inside.join(labels.select(F.col("node").alias("key"), "component"), "key", "left").select("bucket", "run", "key", F.coalesce("component", "key").alias("label"))
+        named = materialize(named, "named")
+        torn = named.groupBy("bucket", "run").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.min("key").alias("home")).where("x < y").select("bucket", "run", "size", "home")
+        apart = materialize(named.join(torn, ["bucket", "run"]).select("home", "bucket", "run", "key", "label", "size"), "apart")
+        # Groups with one smallest member have a home together. Shortenings of large groups' members go there once: pairs that these rule out are never listed.
+        brief = apart.where(F.col("size") > SMALL).select("home", "key").distinct().join(sets.select("key", "short"), "key")
+        none = lambda kind: F.lit(None).cast(kind)
+        brief = brief.select("home", none("int").alias("bucket"), none("int").alias("run"), "key", none("long").alias("label"), "short")
+        beside = apart.drop("size").withColumn("short", none("binary")).unionByName(brief)
+        order = ["home", F.asc_nulls_first("bucket"), F.asc_nulls_first("run")]
+        rest = materialize(beside.repartition("home").sortWithinPartitions(*order).mapInArrow(_spanning(percent, forest), _PAIRS).distinct(), "rest")
+        likely = materialize(met_by(rest, "short", np.uint16), "likely")
+        found = verified(likely)
+        for done in (named, apart, rest, likely):
+            discard(done)
+        return found
+
+    # Some links of each member first; what they join needs no more pairs. Then all pairs that are still apart.
+    for forest in (True, False):
+        more = across(labels, forest)
+        if not more.isEmpty():
+            linked = materialize(linked.unionByName(more), "links")
+            labels = materialize(connected_components(linked, "a", "b"), "labels")
+        discard(more)
     final = labels
-    if not more.isEmpty():
-        final = materialize(connected_components(linked.unionByName(more), "a", "b"), "labels")
     placed = member.join(final.select(F.col("node").alias("key"), "component"), "key", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "key")).alias("part")
     )
     placed = materialize(placed, "placed")
-    for done in (scan, first, inside, stand, sets, linked, labels, named, apart, rest, more, *([] if final is labels else [final])):
+    for done in (scan, first, inside, stand, sets, linked, final):
         discard(done)  # all that the result rests on is in placed
     low = placed.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("low"))
     return placed.join(low, "part", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
