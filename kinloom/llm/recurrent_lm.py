@@ -9,8 +9,9 @@ one unseen token a class.
 
 The recurrent part (a gated recurrent unit in numpy) is fitted by truncated backpropagation: streams of
 documents in LANES lanes, windows of STEPS tokens, state carried across windows and reset where
-a document starts. It is fitted on a bounded sample, about FIT_DOCS documents chosen by a hash; everything
-that is counted covers all training documents. Scoring runs documents side by side,
+a document starts. A first network is fitted on about FIT_DOCS documents chosen by a hash. From it each partition
+then makes a pass over all its training documents, WIDE side by side, and the networks are averaged by their tokens;
+so the fitted weights, not the counts, depend on how the input is split. Scoring runs documents side by side,
 sorted by length, window by window with state carried to the end of every document.
 
 Counts of at most HEAD tokens travel to the workers; the rest are looked up by a join.
@@ -41,6 +42,7 @@ from kinloom.runtime import ship
 HEAD, WORDS, WORD_CLASSES, TAIL_CLASSES = 262_144, 2000, 40, 16
 HIDDEN, EMBED = 24, 16
 FIT_DOCS, LANES, STEPS, EPOCHS, RATE = 1200, 64, 24, 2, 0.006
+WIDE, MERGED = 256, 64
 SIDE = 1024
 END = b""
 
@@ -93,6 +95,9 @@ class Net:
     word_w: np.ndarray
     word_b: np.ndarray
 
+    def params(self) -> list[np.ndarray]:
+        return [self.table, self.recur, self.class_w, self.class_b, self.word_w, self.word_b]
+
     def step(self, rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         x, n = self.table[rows], h.shape[1]
         both = 1 / (1 + np.exp(-(x[:, : 2 * n] + h @ self.recur[:, : 2 * n])))
@@ -122,6 +127,84 @@ def new_net(v: Vocabulary) -> Net:
     )
 
 
+def gradients(net: Net, v: Vocabulary, h: np.ndarray, row: np.ndarray, fresh: np.ndarray | None, cls: np.ndarray, word: np.ndarray) -> tuple[list[np.ndarray], int, np.ndarray]:
+    """Summed gradients over a window (lanes by steps; class -1 where a lane has ended), its live tokens, and the state after it."""
+    H, width = h.shape[1], row.shape[1]
+    saved = []
+    for t in range(width):
+        if fresh is not None:
+            h = h * (1 - fresh[:, t, None]).astype(np.float32)
+        after, z, r, c = net.step(row[:, t], h)
+        saved.append((h, z, r, c, after))
+        h = after
+    states = np.stack([s[4] for s in saved], 1)
+    live = cls >= 0
+    x, y, yw = states[live], cls[live], word[live]
+    grads = [np.zeros_like(p) for p in net.params()]
+    if not len(y):
+        return grads, 0, h
+    p = np.exp(_log_softmax(x @ net.class_w.T + net.class_b))
+    p[np.arange(len(y)), y] -= 1
+    dx = p @ net.class_w
+    grads[2], grads[3] = p.T @ x, p.sum(0)
+    by = np.argsort(np.where(yw >= 0, y, WORD_CLASSES), kind="stable")
+    cuts = np.searchsorted(y[by[: int((yw >= 0).sum())]], np.arange(WORD_CLASSES + 1))
+    for k in np.flatnonzero(np.diff(cuts)):
+        mine = by[cuts[k] : cuts[k + 1]]
+        i, j = v.starts[k], v.starts[k + 1]
+        own = x[mine]
+        q = np.exp(_log_softmax(own @ net.word_w[i:j].T + net.word_b[i:j]))
+        q[np.arange(len(q)), yw[mine] - i] -= 1
+        dx[mine] += q @ net.word_w[i:j]
+        grads[4][i:j], grads[5][i:j] = q.T @ own, q.sum(0)
+    back = np.zeros_like(states)
+    back[live] = dx
+    dh = np.zeros_like(h)
+    inner, gated = net.recur[:, 2 * H :].T, net.recur[:, : 2 * H].T
+    moved = np.empty((width, len(h), 3 * H), np.float32)
+    for t in range(width - 1, -1, -1):
+        before, z, r, c, _ = saved[t]
+        dh = dh + back[:, t]
+        dc = dh * z * (1 - c * c)
+        du = dc @ inner
+        moved[t, :, :H] = dh * (c - before) * z * (1 - z)
+        moved[t, :, H : 2 * H] = du * before * r * (1 - r)
+        moved[t, :, 2 * H :] = dc
+        dh = dh * (1 - z) + du * r + moved[t, :, : 2 * H] @ gated
+        if fresh is not None:
+            dh *= 1 - fresh[:, t, None]
+    before, r = (np.stack([s[i] for s in saved]).reshape(-1, H) for i in (0, 2))
+    flat = moved.reshape(-1, 3 * H)
+    grads[1][:, : 2 * H] = before.T @ flat[:, : 2 * H]
+    grads[1][:, 2 * H :] = (r * before).T @ flat[:, 2 * H :]
+    rows = row.T.ravel()
+    by = np.argsort(rows, kind="stable")
+    at, first = np.unique(rows[by], return_index=True)
+    grads[0][at] = np.add.reduceat(flat[by], first, 0)
+    return grads, len(y), h
+
+
+class Descent:
+    """Adam with a clipped norm and a short rise of the rate; changes the network in place."""
+
+    def __init__(self, net: Net) -> None:
+        self.params = net.params()
+        self.first, self.second = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
+        self.steps = 0
+
+    def step(self, grads: list[np.ndarray], tokens: int) -> None:
+        scale = np.float32(1 / tokens)
+        self.steps += 1
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads)) * float(scale)
+        clip = scale * np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+        rate = RATE * min(1.0, self.steps / 20)
+        for p, g, m, s in zip(self.params, grads, self.first, self.second, strict=True):
+            g = g * clip
+            m += np.float32(0.1) * (g - m)
+            s += np.float32(0.01) * (g * g - s)
+            p -= np.float32(rate) * (m / np.float32(1 - 0.9**self.steps)) / (np.sqrt(s / np.float32(1 - 0.99**self.steps)) + np.float32(1e-6))
+
+
 def fit(v: Vocabulary, streams: list[tuple[np.ndarray, np.ndarray]]) -> Net:
     """Truncated backpropagation over documents given as (classes, words); word -1 where the class is spelled."""
     net = new_net(v)
@@ -145,67 +228,42 @@ def fit(v: Vocabulary, streams: list[tuple[np.ndarray, np.ndarray]]) -> Net:
             row[k, at + 1 : at + n] = inputs[:-1]
             fresh[k, at] = 1
             at += n
-    params = [net.table, net.recur, net.class_w, net.class_b, net.word_w, net.word_b]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    steps = 0
-    H = HIDDEN
+    descent = Descent(net)
     for _ in range(EPOCHS):
-        h = np.zeros((LANES, H), np.float32)
+        h = np.zeros((LANES, HIDDEN), np.float32)
         for begin in range(0, length, STEPS):
-            stop = min(length, begin + STEPS)
-            saved = []
-            for t in range(begin, stop):
-                h = h * (1 - fresh[:, t, None]).astype(np.float32)
-                after, z, r, c = net.step(row[:, t], h)
-                saved.append((h, z, r, c, after))
-                h = after
-            states = np.stack([s[4] for s in saved], 1)
-            goal, goal_w = cls[:, begin:stop], word[:, begin:stop]
-            live = goal >= 0
-            if not live.any():
+            span = slice(begin, begin + STEPS)
+            grads, tokens, h = gradients(net, v, h, row[:, span], fresh[:, span], cls[:, span], word[:, span])
+            if not tokens:
                 break
-            x, y, yw = states[live], goal[live], goal_w[live]
-            grads = [np.zeros_like(p) for p in params]
-            p = np.exp(_log_softmax(x @ net.class_w.T + net.class_b))
-            p[np.arange(len(y)), y] -= 1
-            dx = p @ net.class_w
-            grads[2], grads[3] = p.T @ x, p.sum(0)
-            for k in np.unique(y[yw >= 0]):
-                mine = (y == k) & (yw >= 0)
-                i, j = v.starts[k], v.starts[k + 1]
-                q = np.exp(_log_softmax(x[mine] @ net.word_w[i:j].T + net.word_b[i:j]))
-                q[np.arange(len(q)), yw[mine] - i] -= 1
-                dx[mine] += q @ net.word_w[i:j]
-                grads[4][i:j], grads[5][i:j] = q.T @ x[mine], q.sum(0)
-            scale = np.float32(1 / len(y))
-            back = np.zeros_like(states)
-            back[live] = dx
-            dh = np.zeros_like(h)
-            for t in range(stop - 1, begin - 1, -1):
-                before, z, r, c, _ = saved[t - begin]
-                dh = dh + back[:, t - begin]
-                dc = dh * z * (1 - c * c)
-                dz = dh * (c - before) * z * (1 - z)
-                du = dc @ net.recur[:, 2 * H :].T
-                dr = du * before * r * (1 - r)
-                gates = np.concatenate([dz, dr], 1)
-                np.add.at(grads[0], row[:, t], np.concatenate([gates, dc], 1))
-                grads[1][:, : 2 * H] += before.T @ gates
-                grads[1][:, 2 * H :] += (r * before).T @ dc
-                dh = dh * (1 - z) + du * r + gates @ net.recur[:, : 2 * H].T
-                dh *= 1 - fresh[:, t, None]
-            steps += 1
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads)) * float(scale)
-            clip = scale * np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-            rate = RATE * min(1.0, steps / 20)
-            for p, g, m, s in zip(params, grads, first, second, strict=True):
-                g = g * clip
-                m += np.float32(0.1) * (g - m)
-                s += np.float32(0.01) * (g * g - s)
-                p -= np.float32(rate) * (m / np.float32(1 - 0.9**steps)) / (np.sqrt(s / np.float32(1 - 0.99**steps)) + np.float32(1e-6))
+            descent.step(grads, tokens)
     return net
 
 
+def fit_more(net: Net, v: Vocabulary, descent: Descent, streams: list[tuple[np.ndarray, np.ndarray]], wide: int) -> None:
+    """One pass of truncated backpropagation over all the documents, those of like length side by side."""
+    order = sorted(range(len(streams)), key=lambda i: -len(streams[i][0]))
+    groups = [order[i : i + wide] for i in range(0, len(order), wide)]
+    for g in np.random.default_rng(len(streams)).permutation(len(groups)):
+        docs = [streams[i] for i in groups[g]]
+        sizes = np.array([len(c) for c, _ in docs])
+        h = np.zeros((len(docs), HIDDEN), np.float32)
+        for begin in range(0, int(sizes[0]), STEPS):
+            active, width = int((sizes > begin).sum()), min(STEPS, int(sizes[0]) - begin)
+            cls, word, row = (np.full((active, width), x, np.int64) for x in (-1, -1, 0))
+            for k in range(active):
+                c, w = (x[max(begin - 1, 0) : begin + width] for x in docs[k])
+                inputs = np.where(w >= 0, w, v.words + c - WORD_CLASSES)
+                if begin == 0:
+                    row[k, 0] = v.words + TAIL_CLASSES
+                    row[k, 1 : len(c)], cls[k, : len(c)], word[k, : len(c)] = inputs[:-1], c, w
+                else:
+                    n = len(c) - 1
+                    row[k, :n], cls[k, :n], word[k, :n] = inputs[:-1], c[1:], w[1:]
+            grads, tokens, h = gradients(net, v, h[:active], row, None, cls, word)
+            descent.step(grads, tokens)
+
+
 def classes_of(v: Vocabulary, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(index in the head or -1, class) of each token."""
     get = v.index.get
@@ -348,6 +406,63 @@ def _score(shared):
     return score
 
 
+_FITTED = T.StructType([T.StructField("part", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("weights", T.BinaryType())])
+
+
+def _fitted_row(part: int, tokens: int, weights: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([tokens], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["part", "tokens", "weights"])
+
+
+def _fit_partition(shared, wide: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = v = descent = None
+        seen = 0
+        for batch in batches:
+            if net is None and batch.num_rows:
+                net, v = pickle.loads(shared.value)
+                descent = Descent(net)
+            for start in range(0, batch.num_rows, 2048):
+                streams = []
+                for x in batch.column(0).slice(start, 2048):
+                    index, cls = classes_of(v, tokens_of(x.as_py()))
+                    streams.append((cls, np.where(index < v.words, index, -1)))
+                    seen += len(cls)
+                fit_more(net, v, descent, streams, wide)
+        if seen:
+            yield _fitted_row(TaskContext.get().partitionId(), seen, np.concatenate([p.ravel() for p in net.params()]).astype(np.float64))
+
+    return run
+
+
+def _mean(rows: list[tuple[int, int, bytes]]) -> tuple[int, np.ndarray]:
+    """Tokens and mean weights, by tokens, of (part, tokens, weights)."""
+    tokens, total = 0, 0.0
+    for _, n, weights in sorted(rows):
+        tokens, total = tokens + n, total + np.frombuffer(weights) * n
+    return tokens, total / tokens
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    rows = list(zip(*(table[c].to_pylist() for c in ("part", "tokens", "weights")), strict=True))
+    return pa.Table.from_batches([_fitted_row(min(r[0] for r in rows), *_mean(rows))])
+
+
+def fit_all(net: Net, v: Vocabulary, docs: DataFrame, text: str = "text") -> Net:
+    """The network after a pass over all rows of docs from net: one a partition, averaged, MERGED of them in a task before the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((net, v)))
+    fitted = docs.select(F.col(text)).mapInArrow(_fit_partition(shared, WIDE), _FITTED)
+    merged = fitted.groupBy(F.floor(F.col("part") / MERGED).alias("g")).applyInArrow(_merge, _FITTED)
+    rows = [(r["part"], r["tokens"], bytes(r["weights"])) for r in merged.collect()]
+    if not rows:
+        return net
+    mean = _mean(rows)[1].astype(np.float32)
+    params, at = [], 0
+    for p in net.params():
+        params.append(mean[at : at + p.size].reshape(p.shape))
+        at += p.size
+    return Net(*params)
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Net, Vocabulary, DataFrame]:
     """(network, vocabulary, counts) from all rows of docs; counts is a written table."""
     counted = docs.select(F.col(text)).mapInArrow(_count, _COUNTED).groupBy("token", "spelled").agg(F.sum("c").alias("c"))
@@ -360,7 +475,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     for r in sorted(picked, key=lambda r: (r["i"] or "", r["t"] or "")):
         index, cls = classes_of(v, tokens_of(r["t"]))
         streams.append((cls, np.where((index >= 0) & (index < v.words), index, -1)))
-    return fit(v, streams), v, counts
+    return fit_all(fit(v, streams), v, docs, text), v, counts
 
 
 def score_likelihood(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -160,3 +160,23 @@ def test_model_is_a_distribution(monkeypatch):
         one = (np.append(index, -1), np.append(cls, recurrent_lm.WORD_CLASSES + k))
         unseen += np.exp(recurrent_lm.score_documents(net, v, [one])[0] - before) * 0.5
     assert abs(known + unseen - 1) < 1e-3
+
+
+def test_network_learns_from_all_training_documents(spark, monkeypatch):
+    """Words repeat in a cycle that counts can't tell; with no first sample, only the pass over all documents can learn it."""
+    monkeypatch.setattr(recurrent_lm, "WORDS", 20)
+    monkeypatch.setattr(recurrent_lm, "FIT_DOCS", 0)
+    monkeypatch.setattr(recurrent_lm, "WIDE", 16)
+    monkeypatch.setattr(recurrent_lm, "MERGED", 2)
+    cycle = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(cycle[(i + k) % 12] for k in range(60 + i % 30)), "en", None, 1, 1, "", 1, b"") for i in range(1200)]
+    got = recurrent_lm.score_likelihood(frame(spark, rows)).collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == 1200 and len(held) > 100
+    assert sum(r["score"] for r in held) > 0.6 * sum(r["base_score"] for r in held)
+
+
+def test_averaged_weights():
+    rows = [(2, 30, np.array([1.0, 5.0]).tobytes()), (0, 10, np.array([5.0, 1.0]).tobytes())]
+    tokens, mean = recurrent_lm._mean(rows)
+    assert tokens == 40 and mean.tolist() == [2.0, 4.0]
