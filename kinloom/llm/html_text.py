@@ -8,9 +8,9 @@ nearest urls of its host (by path), lines are aligned by longest common subseque
 lines are deleted. Inside a marked article shared lines stay: articles quote the same
 passages, and deleting them would lose text.
 
-Hosts with more than HOT pages (and a thousandth of all pages, so at most 1000 hosts) are dealt into
-buckets by a hash of the path; the nearest url is then sought within the bucket. Results don't
-depend on partitions.
+Pages are dealt into ranges of (host, path, id), bounds taken from a sample, so that a host of any size takes many tasks.
+A first pass tells each range what lies before and after it; so the nearest url is the same wherever
+the bounds are, and results don't depend on partitions.
 
 Defined results: null or empty html gives an empty text; null urls share one host; pages that
 tie on the path are ordered by id, then lines; repeated rows give repeated results; an empty table gives
@@ -19,18 +19,20 @@ an empty result.
 
 from __future__ import annotations
 
+import pickle
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinloom.runtime import ship
 
-HOT, BUCKET = 1000, 500
+RANGE, RANGES = 100, 4096  # pages a range where there are few, ranges at most
 
 #: Elements by their part in a page.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -192,44 +194,111 @@ def lines_column(html: Column) -> Column:
     return F.arrow_udf(cut, _LINES)(html)
 
 
-def difference(lines: Column, keys: Column, path: Column, path1: Column, keys1: Column, path2: Column, keys2: Column) -> Column:
-    """The lines that neither neighbour's alignment deletes, joined by newlines; keys stand for lines."""
+Page = tuple[str, str, list]  # host, path, keys of lines
 
-    def keep(*columns: pa.Array) -> pa.Array:
-        out = []
-        for own, key, p, p1, k1, p2, k2 in zip(*(x.to_pylist() for x in columns), strict=True):
-            out.append("\n".join(own[i] for i in unshared(key, p, None if k1 is None else (p1, k1), None if k2 is None else (p2, k2))))
-        return pa.array(out, pa.string())
 
-    return F.arrow_udf(keep, T.StringType())(lines, keys, path, path1, keys1, path2, keys2)
+def _place(host: str, path: str, page_id) -> tuple:
+    return host, path, page_id is not None, 0 if page_id is None else page_id
+
+
+_OPEN = "open"  # stands for a neighbour that lies in another range
+
+
+def neighbours_before(pages: list[Page], first) -> list:
+    """For pages in order, the one that each is compared with on that side, or None; ``first`` is the first page's."""
+    out = [first] if pages else []
+    for last, page in zip(pages, pages[1:], strict=False):
+        out.append(_next_before(last, out[-1], page))
+    return out
+
+
+def _next_before(last: Page, before_last, page: Page):
+    return None if last[0] != page[0] else last
+
+
+def range_ends(pages: list[Page]) -> tuple:
+    """First page, last page, what the last has before it and the first after it."""
+    return pages[0], pages[-1], neighbours_before(pages, _OPEN)[-1], neighbours_before(pages[::-1], _OPEN)[-1]
+
+
+def outside(ends: list[tuple]) -> list[tuple]:
+    """For ranges in order: what the first page of each has before it, and the last page after it."""
+    before, after = [None], [None]
+    for (_, last, inner, _), (first, _, _, _) in zip(ends, ends[1:], strict=False):
+        before.append(_next_before(last, before[-1] if inner == _OPEN else inner, first))
+    for (first, _, _, inner), (_, last, _, _) in zip(ends[::-1], ends[::-1][1:], strict=False):
+        after.append(_next_before(first, after[-1] if inner == _OPEN else inner, last))
+    return list(zip(before, after[::-1], strict=True))
+
+
+def _in_order(table: pa.Table) -> tuple[list[dict], list[Page]]:
+    rows = sorted(table.to_pylist(), key=lambda r: (_place(r["host"], r["path"], r["page_id"]), r["keys"]))
+    return rows, [(r["host"], r["path"], r["keys"]) for r in rows]
+
+
+_ENDS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("ends", T.BinaryType())])
+
+
+def _ends(table: pa.Table) -> pa.Table:
+    _, pages = _in_order(table)
+    return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "ends": pa.array([pickle.dumps(range_ends(pages))], pa.binary())})
+
+
+def _difference(shared, kind: pa.DataType):
+    def run(table: pa.Table) -> pa.Table:
+        rows, pages = _in_order(table)
+        first, last = shared.value.get(rows[0]["bucket"], (None, None))
+        before, after = neighbours_before(pages, first), neighbours_before(pages[::-1], last)[::-1]
+        texts = []
+        at = [i for i, r in enumerate(rows) if not r["marked"]]
+        for i in at:
+            (_, path, keys), b, a = pages[i], before[i], after[i]
+            texts.append("\n".join(rows[i]["lines"][k] for k in unshared(keys, path, b and b[1:], a and a[1:])))
+        return pa.table({"page_id": pa.array([rows[i]["page_id"] for i in at], kind), "url": pa.array([rows[i]["url"] for i in at], pa.string()), "text": pa.array(texts, pa.string())})
+
+    return run
+
+
+def _bounds(places: DataFrame, ranges: int, total: int) -> list[tuple]:
+    """Places that cut the pages into about so many ranges."""
+    if ranges < 2:
+        return []
+    found = sorted(_place(r["host"], r["path"], r["page_id"]) for r in places.sample(min(1.0, 20 * ranges / total), seed=7).collect())
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+
+
+def _bucket(bounds: list[tuple]):
+    def find(*columns: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(bounds, _place(*x)) for x in zip(*(c.to_pylist() for c in columns), strict=True)], pa.int32())
+
+    return F.arrow_udf(find, T.IntegerType())
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of pages."""
-    base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    cut = base.select("page_id", "url", lines_column(F.col("html")).alias("_l")).select("page_id", "url", "_l.lines", "_l.marked")
-    straight = cut.where("marked").select("page_id", "url", F.array_join("lines", "\n").alias("text"))
-    # The other pages need their neighbours' lines; no text of marked pages is shuffled but what neighbours are compared with: hashes.
+    spark = pages.sparkSession
     parts = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-    host = F.coalesce(F.lower(F.regexp_extract("url", parts, 1)), F.lit(""))
-    counts = base.groupBy(host.alias("host")).agg(F.count("*").alias("n"))
+    link = F.col(url)
+    base = pages.select(
+        F.col(page_id).alias("page_id"), link.alias("url"), F.coalesce(F.lower(F.regexp_extract(link, parts, 1)), F.lit("")).alias("host"), F.coalesce(F.regexp_extract(link, parts, 2), F.lit("")).alias("path"), F.col(html).alias("html")
+    )
     total = base.count()
-    hot = {r["host"]: r["n"] for r in counts.where(F.col("n") > max(HOT, total // 1000)).collect()}
-    placed = cut.select("*", host.alias("host"), F.coalesce(F.regexp_extract("url", parts, 2), F.lit("")).alias("path"))
-    bucket = F.lit(0)
-    if hot:
-        buckets = F.create_map(*[F.lit(x) for h, n in hot.items() for x in (h, -(-n // BUCKET))])
-        bucket = F.coalesce(F.pmod(F.crc32(F.col("path").cast("binary")), F.element_at(buckets, F.col("host"))), F.lit(0)).cast("int")
-    kept = F.transform("lines", lambda x: F.xxhash64(x))
-    placed = placed.select("page_id", "url", "marked", "host", "path", bucket.alias("bucket"), kept.alias("keys"), F.when(~F.col("marked"), F.col("lines")).alias("lines"))
-    order = Window.partitionBy("host", "bucket").orderBy("path", "page_id", "keys")
-    pair = placed.select(
-        "*", F.lag("path").over(order).alias("path1"), F.lag("keys").over(order).alias("keys1"), F.lead("path").over(order).alias("path2"), F.lead("keys").over(order).alias("keys2")
-    ).where(~F.col("marked"))
-    rest = pair.select("page_id", "url", difference(*map(F.col, ("lines", "keys", "path", "path1", "keys1", "path2", "keys2"))).alias("text"))
+    bounds = _bounds(base.select("host", "path", "page_id"), max(1, min(RANGES, total // RANGE)), total)
+    bucket = _bucket(bounds)("host", "path", "page_id") if bounds else F.lit(0)
+    cut = base.select("page_id", "url", "host", "path", bucket.alias("bucket"), lines_column(F.col("html")).alias("_l")).select("page_id", "url", "host", "path", "bucket", "_l.lines", "_l.marked")
+    cut = cut.withColumn("keys", F.transform("lines", lambda x: F.xxhash64(x)))
+    straight = cut.where("marked").select("page_id", "url", F.array_join("lines", "\n").alias("text"))
+    # The other pages need their neighbours' lines; no text of marked pages is shuffled but what neighbours are compared with: hashes.
+    placed = cut.select("page_id", "url", "host", "path", "bucket", "keys", "marked", F.when(~F.col("marked"), F.col("lines")).alias("lines"))
+    edges = {}
+    if bounds:
+        ends = {r["bucket"]: pickle.loads(r["ends"]) for r in cut.select("bucket", "host", "path", "page_id", "keys").groupBy("bucket").applyInArrow(_ends, _ENDS).collect()}
+        edges = dict(zip(sorted(ends), outside([ends[k] for k in sorted(ends)]), strict=True))
+    shared = spark.sparkContext.broadcast(edges)
+    result = T.StructType([T.StructField("page_id", base.schema["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
+    rest = placed.groupBy("bucket").applyInArrow(_difference(shared, to_arrow_type(result["page_id"].dataType)), result)
     both = straight.unionByName(rest)
     return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
-
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(ship(spark).read.parquet(f"{sf_dir}/pages.parquet"))

@@ -226,6 +226,20 @@ def test_pages(spark):
         assert isinstance(html_text.page_lines(broken)[0], list)
 
 
+def bare_page(*lines):
+    return "<html><body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body></html>"
+
+
+def test_pages_of_a_large_host_meet_their_nearest_url(spark, monkeypatch):
+    """Each pair of siblings shares a notice of its own; ranges of a few pages must not part them."""
+    rows = [(i, f"http://h/{i // 2:04d}/{i % 2}", bare_page(f"Notice of section {i // 2}", f"Own text number {i}.")) for i in range(1400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (7, 100, 10_000):
+        monkeypatch.setattr(html_text, "RANGE", size, raising=False)
+        got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+        assert got == {i: f"Own text number {i}." for i in range(1400)}
+
+
 def test_common_lines_is_longest():
     rng = random.Random(6)
     for _ in range(200):
