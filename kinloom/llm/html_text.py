@@ -12,6 +12,10 @@ Pages are dealt into ranges of (host, path, id), bounds taken from a sample, so
 A first pass tells each range what lies before and after it; so the nearest url is the same wherever
 the bounds are, and results don't depend on partitions.
 
+Copies don't count as neighbours: a run of pages in order, each alike to the one before (what either holds alone
+is at most ALIKE of its characters), is compared with the nearest pages outside the run. A page that has only
+copies beside it keeps its text.
+
 Defined results: null or empty html gives an empty text; null urls share one host; pages that
 tie on the path are ordered by id, then lines; repeated rows give repeated results; an empty table gives
 an empty result.
@@ -33,6 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from kinloom.runtime import ship
 
 RANGE, RANGES = 100, 4096  # pages a range where there are few, ranges at most
+ALIKE = 0.1
 
 #: Elements by their part in a page.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -194,7 +199,19 @@ def lines_column(html: Column) -> Column:
     return F.arrow_udf(cut, _LINES)(html)
 
 
-Page = tuple[str, str, list]  # host, path, keys of lines
+Page = tuple[str, str, list, list]  # host, path, keys and lengths of lines
+
+
+def alike(a: Page, b: Page) -> bool:
+    """Whether two pages are copies of each other, but for small parts."""
+    if a[2] == b[2]:
+        return True
+
+    def alone(x: Page, y: Page) -> bool:
+        held = set(y[2])
+        return sum(n for k, n in zip(x[2], x[3], strict=True) if k not in held) <= ALIKE * sum(x[3])
+
+    return alone(a, b) and alone(b, a)
 
 
 def _place(host: str, path: str, page_id) -> tuple:
@@ -213,7 +230,9 @@ def neighbours_before(pages: list[Page], first) -> list:
 
 
 def _next_before(last: Page, before_last, page: Page):
-    return None if last[0] != page[0] else last
+    if last[0] != page[0]:
+        return None
+    return before_last if alike(last, page) else last
 
 
 def range_ends(pages: list[Page]) -> tuple:
@@ -233,7 +252,7 @@ def outside(ends: list[tuple]) -> list[tuple]:
 
 def _in_order(table: pa.Table) -> tuple[list[dict], list[Page]]:
     rows = sorted(table.to_pylist(), key=lambda r: (_place(r["host"], r["path"], r["page_id"]), r["keys"]))
-    return rows, [(r["host"], r["path"], r["keys"]) for r in rows]
+    return rows, [(r["host"], r["path"], r["keys"], r["sizes"]) for r in rows]
 
 
 _ENDS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("ends", T.BinaryType())])
@@ -252,8 +271,8 @@ def _difference(shared, kind: pa.DataType):
         texts = []
         at = [i for i, r in enumerate(rows) if not r["marked"]]
         for i in at:
-            (_, path, keys), b, a = pages[i], before[i], after[i]
-            texts.append("\n".join(rows[i]["lines"][k] for k in unshared(keys, path, b and b[1:], a and a[1:])))
+            (_, path, keys, _), b, a = pages[i], before[i], after[i]
+            texts.append("\n".join(rows[i]["lines"][k] for k in unshared(keys, path, b and b[1:3], a and a[1:3])))
         return pa.table({"page_id": pa.array([rows[i]["page_id"] for i in at], kind), "url": pa.array([rows[i]["url"] for i in at], pa.string()), "text": pa.array(texts, pa.string())})
 
     return run
@@ -286,13 +305,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     bounds = _bounds(base.select("host", "path", "page_id"), max(1, min(RANGES, total // RANGE)), total)
     bucket = _bucket(bounds)("host", "path", "page_id") if bounds else F.lit(0)
     cut = base.select("page_id", "url", "host", "path", bucket.alias("bucket"), lines_column(F.col("html")).alias("_l")).select("page_id", "url", "host", "path", "bucket", "_l.lines", "_l.marked")
-    cut = cut.withColumn("keys", F.transform("lines", lambda x: F.xxhash64(x)))
+    cut = cut.withColumn("keys", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("sizes", F.transform("lines", F.length))
     straight = cut.where("marked").select("page_id", "url", F.array_join("lines", "\n").alias("text"))
     # The other pages need their neighbours' lines; no text of marked pages is shuffled but what neighbours are compared with: hashes.
-    placed = cut.select("page_id", "url", "host", "path", "bucket", "keys", "marked", F.when(~F.col("marked"), F.col("lines")).alias("lines"))
+    placed = cut.select("page_id", "url", "host", "path", "bucket", "keys", "sizes", "marked", F.when(~F.col("marked"), F.col("lines")).alias("lines"))
     edges = {}
     if bounds:
-        ends = {r["bucket"]: pickle.loads(r["ends"]) for r in cut.select("bucket", "host", "path", "page_id", "keys").groupBy("bucket").applyInArrow(_ends, _ENDS).collect()}
+        ends = {r["bucket"]: pickle.loads(r["ends"]) for r in cut.select("bucket", "host", "path", "page_id", "keys", "sizes").groupBy("bucket").applyInArrow(_ends, _ENDS).collect()}
         edges = dict(zip(sorted(ends), outside([ends[k] for k in sorted(ends)]), strict=True))
     shared = spark.sparkContext.broadcast(edges)
     result = T.StructType([T.StructField("page_id", base.schema["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])

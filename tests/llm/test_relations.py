@@ -240,6 +240,21 @@ def test_pages_of_a_large_host_meet_their_nearest_url(spark, monkeypatch):
         assert got == {i: f"Own text number {i}." for i in range(1400)}
 
 
+def test_copies_of_pages_without_an_article_keep_their_text(spark, monkeypatch):
+    """Copies and variants of one url lose what they share with other pages, not what they share with each other."""
+    long = [f"Sentence {k} of the story that all of these copies tell at length." for k in range(12)]
+    story = lambda i: bare_page("All topics", *long, f"Page {i}")
+    rows = [(i, f"http://h/a?utm={i}", story(i if i % 2 else 0)) for i in range(300)]
+    rows += [(1000, "http://h/b", bare_page("All topics", "Another text.")), (1001, "http://only/x", story(1)), (1002, "http://only/x?page=2", story(1)), (1000, "http://h/b", bare_page("All topics", "Another text."))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: "\n".join([*long, f"Page {i if i % 2 else 0}"]) for i in range(300)} | {1000: "Another text."}
+    want |= {i: "\n".join(["All topics", *long, "Page 1"]) for i in (1001, 1002)}
+    for size in (7, 10_000):
+        monkeypatch.setattr(html_text, "RANGE", size, raising=False)
+        found = html_text.extract(df).collect()
+        assert len(found) == len(rows) and {r["page_id"]: r["text"] for r in found} == want
+
+
 def test_common_lines_is_longest():
     rng = random.Random(6)
     for _ in range(200):
