@@ -3,10 +3,10 @@
 A page is cut into lines, one a block element, with character references decoded and white
 space folded. Lines inside menus, headers, footers, sidebars, forms, notices, adverts, comments
 and raw-text elements are dropped by element, role and class. Where the page marks an article
-(article or main), the rest of its lines are the result. Elsewhere the page is paired with the
+(article or main), only the lines in it are taken. Then the page is paired with the
 nearest urls of its host (by path), lines are aligned by longest common subsequence, and shared
-lines are deleted. Inside a marked article shared lines stay: articles quote the same
-passages, and deleting them would lose text.
+lines are deleted. Inside a marked article shared lines of paragraphs, headings, lists, quotes and tables
+stay: articles quote the same passages, and deleting them would lose text.
 
 Pages are dealt into ranges of (host, path, id), bounds taken from a sample, so that a host of any size takes many tasks.
 A first pass tells each range what lies before and after it; so the nearest url is the same wherever
@@ -47,6 +47,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+PROSE = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 CHROME_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search status toolbar".split())
 CHROME_WORD = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|consent|cookies?|disqus|footer|footnotes?-nav|gdpr|login|masthead|menu|modal|nav|navbar|navigation|"
@@ -81,7 +82,13 @@ def _is_chrome(tag: str, rest: str, inside: bool) -> bool:
 
 def page_lines(html: str) -> tuple[list[str], bool]:
     """Lines of a page without chrome, and whether they come from a marked article."""
-    lines: list[tuple[str, bool]] = []
+    lines, marked = told_lines(html)
+    return [x for x, _ in lines], marked
+
+
+def told_lines(html: str) -> tuple[list[tuple[str, bool]], bool]:
+    """Lines of a page without chrome, each with whether it is prose of a marked article, and whether there is one."""
+    lines: list[tuple[str, bool, bool]] = []
     pieces: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: tag, chrome here or above, article here or above
     marked = False
@@ -91,7 +98,8 @@ def page_lines(html: str) -> tuple[list[str], bool]:
         if pieces:
             line = " ".join(unescape("".join(pieces)).split())
             if line:
-                lines.append((line, bool(stack and stack[-1][2])))
+                inside = bool(stack and stack[-1][2])
+                lines.append((line, inside, inside and any(x[0] in PROSE for x in stack)))
             pieces.clear()
 
     def drop(stop: str) -> None:
@@ -144,8 +152,8 @@ def page_lines(html: str) -> tuple[list[str], bool]:
         stack.append((tag, chrome, inside))
     flush()
     if marked:
-        return [x for x, inside in lines if inside], True
-    return [x for x, _ in lines], False
+        return [(x, prose) for x, inside, prose in lines if inside], True
+    return [(x, False) for x, _, _ in lines], False
 
 
 def common_lines(a: list, b: list) -> set[int]:
@@ -177,24 +185,24 @@ def _shared_prefix(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def unshared(keys: list, path: str, before: tuple[str, list] | None, after: tuple[str, list] | None) -> list[int]:
-    """Positions of lines not shared with the nearer neighbour (the one before, on equal common prefixes)."""
+def unshared(keys: list, path: str, before: tuple[str, list] | None, after: tuple[str, list] | None, prose: list[bool]) -> list[int]:
+    """Positions of lines that are prose of an article or not shared with the nearer neighbour (the one before, on equal common prefixes)."""
     near = before
     if after is not None and (before is None or _shared_prefix(path, after[0]) > _shared_prefix(path, before[0])):
         near = after
     gone = common_lines(keys, near[1]) if near else set()
-    return [i for i in range(len(keys)) if i not in gone]
+    return [i for i in range(len(keys)) if prose[i] or i not in gone]
 
 
-_LINES = T.StructType([T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("marked", T.BooleanType())])
+_LINES = T.StructType([T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("prose", T.ArrayType(T.BooleanType()))])
 
 
 def lines_column(html: Column) -> Column:
-    """struct(lines, marked) of a page."""
+    """struct(lines, prose) of a page."""
 
     def cut(pages: pa.Array) -> pa.Array:
-        found = [page_lines(x.as_py() or "") for x in pages]
-        return pa.StructArray.from_arrays([pa.array([a for a, _ in found], pa.list_(pa.string())), pa.array([b for _, b in found], pa.bool_())], ["lines", "marked"])
+        found = [told_lines(x.as_py() or "")[0] for x in pages]
+        return pa.StructArray.from_arrays([pa.array([[x for x, _ in p] for p in found], pa.list_(pa.string())), pa.array([[y for _, y in p] for p in found], pa.list_(pa.bool_()))], ["lines", "prose"])
 
     return F.arrow_udf(cut, _LINES)(html)
 
@@ -269,10 +277,10 @@ def _difference(shared, kind: pa.DataType):
         first, last = shared.value.get(rows[0]["bucket"], (None, None))
         before, after = neighbours_before(pages, first), neighbours_before(pages[::-1], last)[::-1]
         texts = []
-        at = [i for i, r in enumerate(rows) if not r["marked"]]
+        at = [i for i, r in enumerate(rows) if not r["whole"]]
         for i in at:
             (_, path, keys, _), b, a = pages[i], before[i], after[i]
-            texts.append("\n".join(rows[i]["lines"][k] for k in unshared(keys, path, b and b[1:3], a and a[1:3])))
+            texts.append("\n".join(rows[i]["lines"][k] for k in unshared(keys, path, b and b[1:3], a and a[1:3], rows[i]["prose"])))
         return pa.table({"page_id": pa.array([rows[i]["page_id"] for i in at], kind), "url": pa.array([rows[i]["url"] for i in at], pa.string()), "text": pa.array(texts, pa.string())})
 
     return run
@@ -304,11 +312,12 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     total = base.count()
     bounds = _bounds(base.select("host", "path", "page_id"), max(1, min(RANGES, total // RANGE)), total)
     bucket = _bucket(bounds)("host", "path", "page_id") if bounds else F.lit(0)
-    cut = base.select("page_id", "url", "host", "path", bucket.alias("bucket"), lines_column(F.col("html")).alias("_l")).select("page_id", "url", "host", "path", "bucket", "_l.lines", "_l.marked")
+    cut = base.select("page_id", "url", "host", "path", bucket.alias("bucket"), lines_column(F.col("html")).alias("_l")).select("page_id", "url", "host", "path", "bucket", "_l.lines", "_l.prose")
     cut = cut.withColumn("keys", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("sizes", F.transform("lines", F.length))
-    straight = cut.where("marked").select("page_id", "url", F.array_join("lines", "\n").alias("text"))
-    # The other pages need their neighbours' lines; no text of marked pages is shuffled but what neighbours are compared with: hashes.
-    placed = cut.select("page_id", "url", "host", "path", "bucket", "keys", "sizes", "marked", F.when(~F.col("marked"), F.col("lines")).alias("lines"))
+    # Pages that are all prose lose nothing: of these, only what neighbours are compared with is shuffled, hashes.
+    whole = F.forall("prose", lambda x: x)
+    straight = cut.where(whole).select("page_id", "url", F.array_join("lines", "\n").alias("text"))
+    placed = cut.select("page_id", "url", "host", "path", "bucket", "keys", "sizes", whole.alias("whole"), F.when(~whole, F.col("lines")).alias("lines"), F.when(~whole, F.col("prose")).alias("prose"))
     edges = {}
     if bounds:
         ends = {r["bucket"]: pickle.loads(r["ends"]) for r in cut.select("bucket", "host", "path", "page_id", "keys", "sizes").groupBy("bucket").applyInArrow(_ends, _ENDS).collect()}

@@ -255,6 +255,15 @@ def test_copies_of_pages_without_an_article_keep_their_text(spark, monkeypatch):
         assert len(found) == len(rows) and {r["page_id"]: r["text"] for r in found} == want
 
 
+def test_shared_lines_outside_paragraphs_of_articles_go(spark):
+    """Differencing decides in marked articles too, but for their prose."""
+    page = lambda own: f"<main><div>You are reading The Daily</div><h1>Report</h1><p>A passage that all quote.</p><p>{own}</p><div>{own} aside</div><div>Rate this page</div></main>"
+    rows = [(i, f"http://h/{i}", page(f"Own text number {i} of this page, of some length.")) for i in range(5)] + [(9, "http://h/9", "<main><p>A passage that all quote.</p></main>"), (10, "http://h/91", None)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda i: f"Own text number {i} of this page, of some length."
+    assert got == {i: f"Report\nA passage that all quote.\n{own(i)}\n{own(i)} aside" for i in range(5)} | {9: "A passage that all quote.", 10: ""}
+
+
 def test_common_lines_is_longest():
     rng = random.Random(6)
     for _ in range(200):
