@@ -28,14 +28,22 @@ def statement_windows(statements: DataFrame, key: str = "file_id", text: str = "
     return cut.select(key, "size", "start", F.slice("_w", F.lit(1), F.col("size")).alias("stmts"))
 
 
-def equal_key_candidates(regions: DataFrame, channel: str, value: Column, most: int = 1000) -> DataFrame:
-    """(left_region, right_region, channel, score 1.0) of regions of two files with one key; keys of more regions than ``most`` are left to other channels."""
+def equal_key_candidates(regions: DataFrame, channel: str, value: Column, most: int | None = None) -> DataFrame:
+    """(left_region, right_region, channel, score 1.0) of regions of two files with one key; keys of more regions than ``most``, where given, are left to other channels."""
     keyed = regions.select("file_id", "region_id", value.alias("k")).where("k is not null")
-    rare = keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("k")
+    # Pairs come once by themselves but where both regions have several keys: only those are made distinct, so that hot keys' pairs aren't shuffled.
+    keys = keyed.groupBy("file_id", "region_id").agg(F.collect_set("k").alias("ks"))
+    keyed = keys.select("file_id", "region_id", (F.size("ks") > 1).alias("several"), F.explode("ks").alias("k"))
+    rare = keyed.groupBy("k").agg(F.count("*").alias("n")).where((F.col("n") >= 2) & (F.lit(True) if most is None else F.col("n") <= most)).select("k")
     keyed = keyed.join(rare, "k")
-    a, b = (keyed.select("k", F.col("file_id").alias(f"{s}_file"), F.col("region_id").alias(f"{s}_region")) for s in ("left", "right"))
-    pair = a.join(b, "k").where("left_file < right_file")
-    return pair.select("left_file", "right_file", "left_region", "right_region", F.lit(channel).alias("channel"), F.lit(1.0).alias("score")).distinct()
+
+    def met(rows: DataFrame) -> DataFrame:
+        a, b = (rows.select("k", *[F.col(c).alias(f"{s}_{n}") for c, n in (("file_id", "file"), ("region_id", "region"), ("several", "several"))]) for s in ("left", "right"))
+        return a.join(b, "k").where("left_file < right_file")
+
+    cols = ("left_file", "right_file", "left_region", "right_region")
+    pair = met(keyed).where("NOT (left_several AND right_several)").select(*cols).unionByName(met(keyed.where("several")).select(*cols).distinct())
+    return pair.select(*cols, F.lit(channel).alias("channel"), F.lit(1.0).alias("score"))
 
 
 def merge_candidates(sources: DataFrame, keys: tuple[str, ...] = ("pair_id", "left_region", "right_region")) -> DataFrame:

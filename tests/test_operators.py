@@ -206,3 +206,12 @@ def test_stream(spark, tmp_path):
 def test_percents_add_up(spark, shares):
     df = spark.createDataFrame([(1, f"t{i}", s) for i, s in enumerate(shares)], "pair_id int, type string, share double")
     assert sum(r["percent"] for r in regions.largest_remainder(df).collect()) == 100
+
+
+def test_equal_key_candidates_of_a_key_that_many_share(spark):
+    rows = [(i, f"{i}:1", "hot") for i in range(1100)] + [(5, "5:2", "hot"), (1, "1:3", "b"), (2, "2:3", "b"), (3, "3:3", "c"), (4, "4:1", None)]
+    rows += [(1, "1:3", "d"), (2, "2:3", "d"), (2, "2:3", "d")]
+    df = spark.createDataFrame(rows, "file_id long, region_id string, v string")
+    found = regions.equal_key_candidates(df, "X", F.col("v"))
+    assert found.count() == 1100 * 1099 // 2 + 1099 + 1
+    assert {(r["left_region"], r["right_region"]) for r in regions.equal_key_candidates(df, "X", F.col("v"), most=1000).collect()} == {("1:3", "2:3")}
