@@ -14,12 +14,16 @@ most H = floor((a + b)(1 - t) / (1 + t)) elements, so of any H + 1 segments one
 * where even that is too little (small sets of frequent shingles), the prefix of the set in order
   of frequency, which any linked set must meet.
 
-Any pair of linked sets thus shares a signature. Equal sets are one class from the start.
+Any pair of linked sets thus shares a signature. Equal sets are one class from the start; classes go by a 64-bit name, and
+a second 64-bit hash tells two sets of one name apart (names are then drawn anew).
 Signatures are dealt into buckets in packed form, one copy of a class for each batch. In a
 bucket, each class is linked with its signature group's smallest one; the likeliest such pairs
-are verified exactly on the sets, components are formed, and then every pair of a
-group that spans components is verified too. No link is lost, and pairs in one
-component are never listed.
+are verified exactly on the sets, and components are formed. Then every group that still spans components
+is looked at again, once however many signatures made it: all its pairs of two components are tested on 32-bit
+shortenings of the sets, which never understate an intersection, and a spanning tree of those that
+pass is verified exactly. Where a link of a tree fails, all passing pairs of that place are verified.
+So each pair is in one component or has been tested, no link is lost, and listed pairs grow with members, not with their squares.
+Places with more than TILE members are cut into parts, and tasks get pairs of parts.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing (their component is
 their own id); with fewer than n words the whole sequence is the one shingle; repeated rows are
@@ -51,8 +55,12 @@ SPARE = 1.15
 BUCKET = 2_000_000
 #: Pivots of a class that the first verification tries.
 FIRST = 2
-#: Larger groups that span components are tested in their task, smaller ones list their pairs.
-SMALL = 32
+#: Members and shingles of a part of a large place; a task holds two parts.
+TILE, TILE_SHINGLES = 4096, 2_000_000
+#: Larger groups are tested by products of incidence matrices, smaller ones pair by pair.
+SMALL, BLOCK = 12, 256
+#: Bits of a class's first name, and of a shortening.
+NAME_BITS, SHORT_BITS = 64, 32
 #: Ids of documents to verify that are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 
@@ -77,12 +85,17 @@ def shingle_sets(texts: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def set_key(s: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
+def set_key(s: np.ndarray, naming: tuple[int, int] = (0, 64)) -> int:
+    """A signed 64-bit name of a set; naming: a seed, and how many bits are used."""
     if not len(s):
         return 0
-    both = np.array([np.add.reduce(_words.mix(s ^ _PREFIX)), _U(len(s))], np.uint64)
-    return int(_words.windows(both, 2).view(np.int64)[0])
+    both = np.array([np.add.reduce(_words.mix(s ^ (_PREFIX + _U(naming[0])))), _U(len(s))], np.uint64)
+    return int((_words.windows(both, 2) >> _U(64 - naming[1])).view(np.int64)[0])
+
+
+def set_check(s: np.ndarray) -> int:
+    """Another one, independent of the name."""
+    return int(np.bitwise_xor.reduce(_words.mix(s * _SEGMENT + _DELETION)).view(np.int64)) if len(s) else 0
 
 
 def need(n: int, top: int, percent: int) -> int:
@@ -147,17 +160,17 @@ def signatures(s: np.ndarray, percent: int, frequent: np.ndarray, counts: np.nda
     return np.unique(np.concatenate(out))
 
 
-_SCAN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingle", T.LongType()), T.StructField("seen", T.LongType())])
-_SCAN_PA = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64()), ("seen", pa.int64())])
+_SCAN = T.StructType([T.StructField(x, T.LongType()) for x in ("doc_id", "key", "check", "n", "shingle", "seen")])
+_SCAN_PA = pa.schema([(x, pa.int64()) for x in ("doc_id", "key", "check", "n", "shingle", "seen")])
 
 
-def _scan(words: int):
+def _scan(words: int, naming: tuple[int, int]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), words))
-            keys, sizes = [set_key(s) for s in sets], [len(s) for s in sets]
+            keys, checks, sizes = [set_key(s, naming) for s in sets], [set_check(s) for s in sets], [len(s) for s in sets]
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), none, none], schema=_SCAN_PA)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (keys, checks, sizes)), none, none], schema=_SCAN_PA)
             # Shingles that repeat over the batch's distinct sets: those that are frequent in all repeat here.
             first = {k: s for k, s in zip(keys, sets, strict=True)}
             every = np.sort(np.concatenate([*first.values(), np.zeros(0, np.uint64)]))
@@ -166,7 +179,7 @@ def _scan(words: int):
             hot = count >= 2
             if hot.any():
                 none = pa.nulls(int(hot.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(every[runs[:-1]][hot].view(np.int64)), pa.array(count[hot].astype(np.int64))], schema=_SCAN_PA)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(every[runs[:-1]][hot].view(np.int64)), pa.array(count[hot].astype(np.int64))], schema=_SCAN_PA)
 
     return scan
 
@@ -175,13 +188,13 @@ _DEALT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("
 _DEALT_PA = pa.schema([("bucket", pa.int32()), ("names", pa.binary()), ("which", pa.binary()), ("sigs", pa.binary())])
 
 
-def _deal(words: int, percent: int, buckets: int, frequent, counts):
+def _deal(words: int, percent: int, naming: tuple[int, int], places: list[int], frequent, counts):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, often, weight = Bands(percent), frequent.value, counts.value
+        bands, often, weight, buckets = Bands(percent), frequent.value, counts.value, len(places)
         for batch in batches:
             names, found, seen = [], [], set()
             for s in shingle_sets(batch.column(0), words):
-                name = set_key(s)
+                name = set_key(s, naming)
                 if len(s) and name not in seen:
                     seen.add(name)
                     names.append(name)
@@ -200,7 +213,7 @@ def _deal(words: int, percent: int, buckets: int, frequent, counts):
                 if j > i:
                     used, local = np.unique(which[i:j], return_inverse=True)
                     kind = np.uint16 if len(used) <= 65536 else np.uint32
-                    row = [pa.array([b], pa.int32()), pa.array([name[used].tobytes()]), pa.array([local.astype(kind).tobytes()]), pa.array([short[i:j].tobytes()])]
+                    row = [pa.array([places[b]], pa.int32()), pa.array([name[used].tobytes()]), pa.array([local.astype(kind).tobytes()]), pa.array([short[i:j].tobytes()])]
                     yield pa.RecordBatch.from_arrays(row, schema=_DEALT_PA)
 
     return deal
@@ -270,6 +283,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("times", T.LongType())])
 _MEMBERS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("run", T.IntegerType()), T.StructField("key", T.LongType())])
+_RUNS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("run", T.IntegerType()), *(T.StructField(x, T.LongType()) for x in ("home", "size", "content", "content2"))])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,207 +293,317 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cells, ["a", "b", "times"])
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, starts of runs, their sizes, names)."""
     for batch in batches:
         for r in range(batch.num_rows):
             starts, inside = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in (1, 2))
-            run = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(inside))))
-            bucket = np.full(len(inside), batch.column(0)[r].as_py(), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(run), pa.array(inside)], ["bucket", "run", "key"])
-
-
-_PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-
-
-def likely_pairs(keys: np.ndarray, labels: np.ndarray, shorts: list[np.ndarray], percent: int, forest: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a < b) of two labels whose 16-bit shortenings don't rule a link out, by blocks of a product of incidence matrices; forest: one a block and b."""
-    sizes = np.array([len(x) for x in shorts], np.int64)
-    owner = np.repeat(np.arange(len(keys)), sizes)
-    value = np.concatenate(shorts).astype(np.int64)
-    # Equal values of one set are numbered, so that the intersection of multisets is one of sets.
-    fresh = np.concatenate(([True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])))
-    start = np.flatnonzero(fresh)
-    value = value * 4096 + np.minimum(np.arange(len(value)) - np.repeat(start, np.diff(np.append(start, len(value)))), 4095)
-    _, column, count = np.unique(value, return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    width = int(column.max(initial=-1)) + 1
-    for i in range(0, len(keys), 256):
-        left = np.zeros((min(256, len(keys) - i), width), np.float32)
-        mine = (owner >= i) & (owner < i + 256)
-        left[owner[mine] - i, column[mine]] = 1
-        for j in range(0, len(keys), 256):
-            right = np.zeros((min(256, len(keys) - j), width), np.float32)
-            theirs = (owner >= j) & (owner < j + 256)
-            right[owner[theirs] - j, column[theirs]] = 1
-            common = left @ right.T
-            total = sizes[i : i + 256, None] + sizes[None, j : j + 256]
-            fits = (100 * common >= percent * (total - common)) & (labels[i : i + 256, None] != labels[None, j : j + 256]) & (keys[i : i + 256, None] < keys[None, j : j + 256])
-            x, y = np.nonzero(fits)
-            if forest and len(x):
-                y, at = np.unique(y, return_index=True)
-                x = x[at]
-            if len(x):
-                yield keys[i : i + 256][x], keys[j : j + 256][y]
+            yield batch.column(0)[r].as_py(), starts, np.diff(np.append(starts, len(inside))), inside
 
 
-def _spanning(percent: int, forest: bool):
-    """Rows (home, bucket, run, key, label, short) in order, a home's shortenings (bucket null) first, to pairs of groups with two labels.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a run: its smallest name, size and two hashes of its content."""
+    for bucket, starts, sizes, inside in _opened(batches):
+        own = inside.view(np.uint64)
+        content = [np.add.reduceat(_words.mix(own ^ x), starts).view(np.int64) for x in (_SEGMENT, _DELETION)]
+        run = np.arange(len(starts), dtype=np.int32)
+        cells = [np.full(len(starts), bucket, np.int32), run, inside[starts], sizes.astype(np.int64), *content]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], _RUNS.names)
 
-    Likely pairs where the shortenings are there, else all; with forest only some of them, a few for each member. A home's pairs come once.
-    """
 
-    def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def group(keys: list, labels: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            k, lab = np.array(keys, np.int64), np.array(labels, np.int64)
-            if all(x in known for x in keys):
-                yield from likely_pairs(k, lab, [known[x] for x in keys], percent, forest)
-            elif forest:
-                order = np.argsort(k)
-                k, lab = k[order], lab[order]
-                one = np.sort(np.unique(lab, return_index=True)[1])
-                yield np.repeat(k[one[0]], len(one) - 1), k[one[1:]]
-            else:
-                x, y = np.nonzero((lab[:, None] != lab[None, :]) & (k[:, None] < k[None, :]))
-                yield k[x], k[y]
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for bucket, starts, sizes, inside in _opened(batches):
+        run = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(inside), bucket, np.int32)), pa.array(run), pa.array(inside)], ["bucket", "run", "key"])
+
+
+def numbered(short: np.ndarray) -> np.ndarray:
+    """A sorted multiset of shortenings as a sorted set: equal values are told apart by number, so intersections are those of multisets."""
+    start = np.flatnonzero(np.concatenate(([True], short[1:] != short[:-1]))) if len(short) else np.zeros(0, np.int64)
+    nth = np.arange(len(short)) - np.repeat(start, np.diff(np.append(start, len(short))))
+    return (short.astype(_U) << _U(32)) + nth.astype(_U)
+
+
+def fits(common, total, percent: int):
+    """Whether sets of so many elements in all may be linked."""
+    return 100 * common >= percent * (total - common)
+
+
+def likely_blocks(sets: list[np.ndarray], percent: int) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Blocks (rows, columns, whether the pair's shortenings allow a link) of all pairs of numbered sets in order of size, once each."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    value, column = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(column, minlength=len(value)) > 1
+    column = np.where(often[column], np.cumsum(often)[column] - 1, -1)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    spans = [slice(i, min(i + BLOCK, len(sets))) for i in range(0, len(sets), BLOCK)]
+    cells = []
+    for x in spans:
+        c = column[ends[x.start] : ends[x.stop]]
+        owner = np.repeat(np.arange(x.stop - x.start), sizes[x])
+        cells.append((owner[c >= 0], c[c >= 0], np.unique(c[c >= 0])))
+
+    def matrix(k: int, shared: np.ndarray) -> np.ndarray:
+        owner, c, _ = cells[k]
+        at = np.minimum(np.searchsorted(shared, c), max(len(shared) - 1, 0))
+        out = np.zeros((spans[k].stop - spans[k].start, len(shared)), np.float32)
+        if len(shared):
+            own = shared[at] == c
+            out[owner[own], at[own]] = 1
+        return out
+
+    for i, x in enumerate(spans):
+        for j in range(i, len(spans)):
+            y = spans[j]
+            if sizes[x.stop - 1] * 100 < percent * sizes[y.start]:
+                break
+            shared = np.intersect1d(cells[i][2], cells[j][2], assume_unique=True)
+            common = matrix(i, shared) @ matrix(j, shared).T
+            good = fits(common, sizes[x, None] + sizes[None, y], percent)
+            yield x, y, np.triu(good, 1) if i == j else good
+
+
+class Place:
+    """The groups of one tile: names with labels, tested once for each pair; a forest joins labels as it goes."""
+
+    def __init__(self, percent: int, forest: bool, cross: bool) -> None:
+        self.percent, self.forest, self.cross = percent, forest, cross
+        self.known: dict[int, np.ndarray] = {}
+        self.up: dict[int, int] = {}
+        self.tested: set[tuple[int, int]] = set()
+        self.found: list[tuple[int, int]] = []
+
+    def root(self, label: int) -> int:
+        up = self.up
+        while (above := up.get(label, label)) != label:
+            up[label] = up.get(above, above)
+            label = above
+        return label
+
+    def take(self, a: int, b: int, x: int, y: int) -> None:
+        """A pair that may be linked, with its labels."""
+        if self.forest:
+            x, y = self.root(x), self.root(y)
+            if x == y:
+                return
+            self.up[max(x, y)] = min(x, y)
+        self.found.append((min(a, b), max(a, b)))
+
+    def group(self, keys: list[int], labels: list[int], parts: list[int]) -> None:
+        if self.forest:
+            labels = [self.root(x) for x in labels]
+        if len(set(labels)) < 2 or self.cross and len(set(parts)) < 2:
+            return
+        if len(keys) <= SMALL:
+            for i, a in enumerate(keys):
+                for j in range(i):
+                    b = keys[j]
+                    if labels[i] == labels[j] or self.cross and parts[i] == parts[j] or (pair := (min(a, b), max(a, b))) in self.tested:
+                        continue
+                    self.tested.add(pair)
+                    x, y = self.known[a], self.known[b]
+                    if fits(min(len(x), len(y)), len(x) + len(y), self.percent):
+                        both = np.concatenate((x, y))
+                        both.sort()
+                        if fits(int(np.count_nonzero(both[1:] == both[:-1])), len(both), self.percent):
+                            self.take(a, b, labels[i], labels[j])
+            if len(self.tested) > 1 << 18:  # a saving only
+                self.tested.clear()
+            return
+        order = sorted(range(len(keys)), key=lambda i: (len(self.known[keys[i]]), keys[i]))
+        key, part = (np.array([x[i] for i in order], np.int64) for x in (keys, parts))
+        label = np.array([labels[i] for i in order], np.int64)
+        for x, y, good in likely_blocks([self.known[keys[i]] for i in order], self.percent):
+            if self.cross:
+                good = good & (part[x, None] != part[None, y])
+            while True:
+                a, b = np.nonzero(good & (label[x, None] != label[None, y]))
+                if not len(a):
+                    break
+                if self.forest:  # one for each row, then what that left apart
+                    a, at = np.unique(a, return_index=True)
+                    b = b[at]
+                for i, j in zip(a + x.start, b + y.start, strict=True):
+                    self.take(int(key[i]), int(key[j]), int(label[i]), int(label[j]))
+                if not self.forest:
+                    break
+                names, back = np.unique(label, return_inverse=True)
+                label = np.array([self.root(int(n)) for n in names], np.int64)[back]
 
-        def flush(found: list) -> Iterator[pa.RecordBatch]:
-            both = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[0])), pa.array(np.ascontiguousarray(both[1]))], ["a", "b"])
 
-        known: dict[int, np.ndarray] = {}
-        at, keys, labels, found, held = (None, None, None), [], [], [], 0
+def _spanning(percent: int, forest: bool):
+    """Rows (home, i, j, bucket, run, key, label, part, short) in order, a tile's shortenings (bucket null) first, to (home, a, b): pairs of two labels that may be linked, a spanning forest of them or all."""
+
+    def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(home: int, place: Place) -> Iterator[pa.RecordBatch]:
+            if place.found:
+                both = np.unique(np.array(place.found, np.int64), axis=0)
+                place.found = []
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), home)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], _PAIRS.names)
+
+        place = group = tile = None
+        keys, labels, parts = [], [], []
         for batch in batches:
-            for home, b, r, key, label, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (home, b, r) != at:
+            for home, i, j, b, r, key, label, part, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (home, i, j) != tile or (b, r) != group:
                     if keys:
-                        for x, y in group(keys, labels):
-                            found.append(np.stack([x, y]))
-                            held += len(x)
-                    if found and (home != at[0] or held > 1 << 20):
-                        yield from flush(found)
-                        found, held = [], 0
-                    if home != at[0]:
-                        known = {}
-                    at, keys, labels = (home, b, r), [], []
+                        place.group(keys, labels, parts)
+                        keys, labels, parts = [], [], []
+                    if place and ((home, i, j) != tile or len(place.found) > 1 << 18):
+                        yield from rows(tile[0], place)
+                    if (home, i, j) != tile:
+                        tile, place = (home, i, j), Place(percent, forest, i != j)
+                    group = (b, r)
                 if b is None:
-                    known[key] = np.frombuffer(short, np.uint16)
+                    place.known[key] = numbered(np.frombuffer(short, np.uint32))
                 else:
                     keys.append(key)
                     labels.append(label)
+                    parts.append(part)
         if keys:
-            found += [np.stack(p) for p in group(keys, labels)]
-        if found:
-            yield from flush(found)
+            place.group(keys, labels, parts)
+        if place:
+            yield from rows(tile[0], place)
 
     return spanning
 
 
-_SETS = T.StructType([T.StructField("key", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("short", T.BinaryType())])
+_PAIRS = T.StructType([T.StructField("home", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_SETS = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("short", T.BinaryType())])
 
 
-def _sets(words: int):
+def _sets(words: int, bits: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(shingle_sets(batch.column(1), words))
-            short = [np.sort((s >> _U(48)).astype(np.uint16)).tobytes() for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(short, pa.binary())], ["key", "shingles", "short"])
+            short = [np.sort((s >> _U(64 - bits)).astype(np.uint32)).tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(short, pa.binary())], _SETS.names)
 
     return sets
 
 
-def _most_common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted multisets; for 16-bit shortenings no less than that of the sets."""
-    (x, m), (y, n) = (np.unique(z, return_counts=True) for z in (a, b))
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return int(np.minimum(m[i], n[j]).sum())
-
-
-def _verify(percent: int, kind: type):
-    """Pairs (a, b, set of a, set of b) that may be linked; exactly those for whole hashes."""
+def _verify(percent: int):
+    """Pairs (home, a, b, set of a, set of b) that are linked."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for r in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[r].as_py(), kind) for c in (2, 3))
-                if min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)):
-                    common = _most_common(a, b)
-                    if 100 * common >= percent * (len(a) + len(b) - common):
-                        good.append(r)
+                a, b = (np.frombuffer(batch.column(c)[r].as_py(), _U) for c in (3, 4))
+                if fits(min(len(a), len(b)), len(a) + len(b), percent) and fits(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b), percent):
+                    good.append(r)
             keep = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in range(3)], _PAIRS.names)
 
     return verify
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _places(spark: SparkSession, n: int) -> list[int]:
+    """Numbers of n buckets that hash partitioning deals to n partitions, one each."""
+    number = F.col("id").cast("int")
+    found = {r["p"]: r["i"] for r in spark.range(32 * n).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("p")).agg(F.min(number).alias("i")).collect()}
+    return [found.get(p, 32 * n + p) for p in range(n)]
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: component_id is the smallest id that links reach."""
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scan = materialize(base.mapInArrow(_scan(words), _SCAN), "sets")
+    naming = (seed, 64 if seed else NAME_BITS)
+    scan = materialize(base.mapInArrow(_scan(words, naming), _SCAN), "sets")
     member = scan.where("key is not null").select("doc_id", "key", "n")
-    sized = scan.agg(F.sum("n")).first()[0]
+    classes = scan.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("x"), F.max("check").alias("y"), F.first("n").alias("n"))
+    classes = materialize(classes, "classes")
+    sized = classes.agg(F.sum("n").alias("n"), F.count_if(F.col("x") != F.col("y")).alias("twice")).first()
+    if sized["twice"]:
+        return jaccard_components(docs, words, percent, doc_id, text, seed + 1)
     hot = scan.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("c")).where(F.col("c") >= FREQUENT)
-    hot = sorted((x["shingle"] % 2**64, x["c"]) for x in hot.orderBy(F.desc("c"), "shingle").limit(MAX_FREQUENT).collect())
-    frequent = spark.sparkContext.broadcast(np.array([a for a, _ in hot], np.uint64))
-    counts = spark.sparkContext.broadcast(np.array([b for _, b in hot], np.int64))
-    buckets = max(8, int((sized or 0) * 0.8 / BUCKET) + 1)
-    dealt = base.select("text").mapInArrow(_deal(words, percent, buckets, frequent, counts), _DEALT)
-    met = materialize(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _MET), "groups")
+    hot = hot.orderBy(F.desc("c"), "shingle").limit(MAX_FREQUENT).toArrow()
+    often, times = (hot[c].to_numpy() for c in ("shingle", "c"))
+    order = np.argsort(often.view(_U))
+    frequent, counts = (spark.sparkContext.broadcast(x) for x in (often.view(_U)[order], times[order]))
+    places = _places(spark, max(8, int((sized["n"] or 0) * 1.2 / BUCKET) + 1))
+    dealt = base.select("text").mapInArrow(_deal(words, percent, naming, places, frequent, counts), _DEALT)
+    met = materialize(dealt.repartition(len(places), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _MET), "groups")
 
     links = met.select("pivots", "members", "times").mapInArrow(_links, _LINKS).groupBy("a", "b").agg(F.sum("times").alias("times"))
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("times"), "a"))
-    first = materialize(links.withColumn("_r", best).where(F.col("_r") <= FIRST).select("a", "b"), "first")
-    # Only classes in some group are verified: one document of each stands for it.
-    inside = materialize(met.select("bucket", "runs", "inside").mapInArrow(_members, _MEMBERS), "members")
+    first = materialize(links.withColumn("_r", best).where(F.col("_r") <= FIRST).select(F.lit(None).cast("long").alias("home"), "a", "b"), "first")
+    packed = met.select("bucket", "runs", "inside")
+    # Groups of the same classes, whatever signatures made them, are looked at once.
+    groups = packed.mapInArrow(_runs, _RUNS).groupBy("home", "size", "content", "content2").agg(F.min(F.struct("bucket", "run")).alias("_g"))
+    groups = groups.select("home", "_g.bucket", "_g.run")
+    inside = materialize(packed.mapInArrow(_members, _MEMBERS).join(groups, ["bucket", "run"]).select("home", "bucket", "run", "key"), "members")
     discard(met)
-    known = inside.select("key").distinct()
-    stand = materialize(member.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(known, "key"), "stand")
+    # Only classes in some group are verified: one document of each stands for it.
+    stand = materialize(classes.select("key", "doc_id").join(inside.select("key").distinct(), "key"), "stand")
     few = stand.count() <= BROADCAST_IDS
     wanted = base.join(F.broadcast(stand) if few else stand, "doc_id").select("key", "text")
-    sets = materialize(wanted.mapInArrow(_sets(words), _SETS).dropDuplicates(["key"]), "shingles")
-    side = lambda name, column: sets.select(F.col("key").alias(name), F.col(column).alias(f"of_{name}"))
-    met_by = lambda pairs, column, kind: pairs.join(side("a", column), "a").join(side("b", column), "b").select("a", "b", "of_a", "of_b").mapInArrow(_verify(percent, kind), _PAIRS)
+    sets = materialize(wanted.mapInArrow(_sets(words, SHORT_BITS), _SETS).dropDuplicates(["key"]), "shingles")
+    side = lambda name: sets.select(F.col("key").alias(name), F.col("shingles").alias(f"of_{name}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Whole sets travel for the pairs that their 16-bit shortenings, a quarter of the size, can't rule out."""
-        return materialize(met_by(pairs, "shingles", np.uint64), "links")
-
-    linked = verified(materialize(met_by(first, "short", np.uint16), "likely"))
-    labels = materialize(connected_components(linked, "a", "b"), "labels")
-    def across(labels: DataFrame, forest: bool) -> DataFrame:
-        """Verified links between members of a group that labels keep apart."""
-        named = inside.join(labels.select(F.col("node").alias("key"), "component"), "key", "left").select("bucket", "run", "key", F.coalesce("component", "key").alias("label"))
+        return materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("home", "a", "b", "of_a", "of_b").mapInArrow(_verify(percent), _PAIRS), "links")
+
+    def labelled(linked: DataFrame) -> DataFrame:
+        return materialize(connected_components(linked, "a", "b"), "labels")
+
+    def torn(labels: DataFrame, homes: DataFrame | None) -> DataFrame:
+        """Members of groups that labels keep apart, with the number of parts of their place."""
+        some = inside if homes is None else inside.join(homes, "home")
+        named = some.join(labels.select(F.col("node").alias("key"), "component"), "key", "left").select("home", "bucket", "run", "key", F.coalesce("component", "key").alias("label"))
         named = materialize(named, "named")
-        torn = named.groupBy("bucket", "run").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.min("key").alias("home")).where("x < y").select("bucket", "run", "size", "home")
-        apart = materialize(named.join(torn, ["bucket", "run"]).select("home", "bucket", "run", "key", "label", "size"), "apart")
-        # Groups with one smallest member have a home together. Shortenings of large groups' members go there once: pairs that these rule out are never listed.
-        brief = apart.where(F.col("size") > SMALL).select("home", "key").distinct().join(sets.select("key", "short"), "key")
-        none = lambda kind: F.lit(None).cast(kind)
-        brief = brief.select("home", none("int").alias("bucket"), none("int").alias("run"), "key", none("long").alias("label"), "short")
-        beside = apart.drop("size").withColumn("short", none("binary")).unionByName(brief)
-        order = ["home", F.asc_nulls_first("bucket"), F.asc_nulls_first("run")]
-        rest = materialize(beside.repartition("home").sortWithinPartitions(*order).mapInArrow(_spanning(percent, forest), _PAIRS).distinct(), "rest")
-        likely = materialize(met_by(rest, "short", np.uint16), "likely")
-        found = verified(likely)
-        for done in (named, apart, rest, likely):
-            discard(done)
+        apart = named.groupBy("bucket", "run").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket", "run")
+        found = materialize(named.join(apart, ["bucket", "run"]).join(sets.select("key", "n"), "key"), "apart")
+        discard(named)
         return found
 
-    # Some links of each member first; what they join needs no more pairs. Then all pairs that are still apart.
-    for forest in (True, False):
-        more = across(labels, forest)
+    def parts_of(apart: DataFrame) -> DataFrame:
+        """Places that need more than one part, and how many."""
+        weight = apart.select("home", "key", "n").distinct().groupBy("home").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
+        cut = weight.select("home", F.ceil(F.greatest(F.col("rows") / TILE, F.col("all") / TILE_SHINGLES)).cast("int").alias("k"))
+        return materialize(cut.where("k > 1"), "parts")
+
+    def across(apart: DataFrame, cut: DataFrame, forest: bool, thin: bool) -> DataFrame:
+        """Pairs of two labels in a group that may be linked; thin: each part of a place with itself and the first part only."""
+        part = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
+        every = F.sequence(F.lit(0), F.col("k") - 1)
+        beside = F.when(F.col("part") == 0, every).otherwise(F.array(F.lit(0), F.col("part"))) if thin else every
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        brief = apart.select("home", "key").distinct().join(sets.select("key", "short"), "key").select("home", none("int", "bucket"), none("int", "run"), "key", none("long", "label"), "short")
+        rows = apart.select("home", "bucket", "run", "key", "label", none("binary", "short")).unionByName(brief)
+        rows = rows.join(cut, "home", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("part", part).withColumn("_o", F.explode(beside))
+        tiled = rows.select("home", F.least("part", "_o").alias("i"), F.greatest("part", "_o").alias("j"), "bucket", "run", "key", "label", "part", "short")
+        order = ["home", "i", "j", F.asc_nulls_first("bucket"), F.asc_nulls_first("run")]
+        return materialize(tiled.repartition("home", "i", "j").sortWithinPartitions(*order).mapInArrow(_spanning(percent, forest), _PAIRS).dropDuplicates(["home", "a", "b"]), "likely")
+
+    linked = verified(first)
+    labels, homes, forest, fresh = labelled(linked), None, True, True
+    # Large places are thinned out by few tiles first. A forest whose links all hold leaves nothing to test; where some fail, all pairs are listed.
+    while True:
+        apart = torn(labels, homes)
+        if apart.isEmpty():
+            break
+        cut = parts_of(apart)
+        thin = fresh and (cut.agg(F.max("k")).first()[0] or 0) > 2
+        likely = across(apart, cut, forest, thin)
+        more = verified(likely)
+        failed = materialize(likely.join(more, ["home", "a", "b"], "left_anti").select("home").distinct(), "failed")
         if not more.isEmpty():
             linked = materialize(linked.unionByName(more), "links")
-            labels = materialize(connected_components(linked, "a", "b"), "labels")
-        discard(more)
-    final = labels
-    placed = member.join(final.select(F.col("node").alias("key"), "component"), "key", "left").select(
+            labels = labelled(linked)
+        for done in (apart, cut, likely, more):
+            discard(done)
+        if not thin:
+            if not forest or failed.isEmpty():
+                break
+            homes, forest = failed, False
+        fresh = False
+    placed = member.join(labels.select(F.col("node").alias("key"), "component"), "key", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "key")).alias("part")
     )
     placed = materialize(placed, "placed")
-    for done in (scan, first, inside, stand, sets, linked, final):
+    for done in (scan, classes, first, inside, stand, sets, linked, labels):
         discard(done)  # all that the result rests on is in placed
     low = placed.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("low"))
     return placed.join(low, "part", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
