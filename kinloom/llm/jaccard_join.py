@@ -19,7 +19,7 @@ a second 64-bit hash tells two sets of one name apart (names are then drawn anew
 Signatures are dealt into buckets in packed form, one copy of a class for each batch. In a
 bucket, each class is linked with its signature group's smallest one; the likeliest such pairs
 are verified exactly on the sets, and components are formed. Then every group that still spans components
-is looked at again, once however many signatures made it: all its pairs of two components are tested on 32-bit
+is looked at again, once however many signatures made it: all its pairs of two components are tested on 16-bit
 shortenings of the sets, which never understate an intersection, and a spanning tree of those that
 pass is verified exactly. Where a link of a tree fails, all passing pairs of that place are verified.
 So each pair is in one component or has been tested, no link is lost, and listed pairs grow with members, not with their squares.
@@ -60,7 +60,7 @@ TILE, TILE_SHINGLES = 4096, 2_000_000
 #: Larger groups are tested by products of incidence matrices, smaller ones pair by pair.
 SMALL, BLOCK = 12, 256
 #: Bits of a class's first name, and of a shortening.
-NAME_BITS, SHORT_BITS = 64, 32
+NAME_BITS, SHORT_BITS = 64, 16
 #: Ids of documents to verify that are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 
@@ -455,7 +455,7 @@ def _spanning(percent: int, forest: bool):
                         tile, place = (home, i, j), Place(percent, forest, i != j)
                     group = (b, r)
                 if b is None:
-                    place.known[key] = numbered(np.frombuffer(short, np.uint32))
+                    place.known[key] = numbered(np.frombuffer(short, np.uint16))
                 else:
                     keys.append(key)
                     labels.append(label)
@@ -476,20 +476,22 @@ def _sets(words: int, bits: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(shingle_sets(batch.column(1), words))
-            short = [np.sort((s >> _U(64 - bits)).astype(np.uint32)).tobytes() for s in found]
+            short = [np.sort((s >> _U(64 - bits)).astype(np.uint16)).tobytes() for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(short, pa.binary())], _SETS.names)
 
     return sets
 
 
-def _verify(percent: int):
-    """Pairs (home, a, b, set of a, set of b) that are linked."""
+def _verify(percent: int, whole: bool):
+    """Pairs (home, a, b, set of a, set of b) that are linked, or for shortenings may be."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for r in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[r].as_py(), _U) for c in (3, 4))
+                a, b = (np.frombuffer(batch.column(c)[r].as_py(), _U if whole else np.uint16) for c in (3, 4))
+                if not whole:
+                    a, b = numbered(a), numbered(b)
                 if fits(min(len(a), len(b)), len(a) + len(b), percent) and fits(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b), percent):
                     good.append(r)
             keep = pa.array(good, pa.int64())
@@ -540,10 +542,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     few = stand.count() <= BROADCAST_IDS
     wanted = base.join(F.broadcast(stand) if few else stand, "doc_id").select("key", "text")
     sets = materialize(wanted.mapInArrow(_sets(words, SHORT_BITS), _SETS).dropDuplicates(["key"]), "shingles")
-    side = lambda name: sets.select(F.col("key").alias(name), F.col("shingles").alias(f"of_{name}"))
+    side = lambda name, kind: sets.select(F.col("key").alias(name), F.col(kind).alias(f"of_{name}"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("home", "a", "b", "of_a", "of_b").mapInArrow(_verify(percent), _PAIRS), "links")
+    def verified(pairs: DataFrame, kind: str = "shingles") -> DataFrame:
+        met = pairs.join(side("a", kind), "a").join(side("b", kind), "b").select("home", "a", "b", "of_a", "of_b")
+        return materialize(met.mapInArrow(_verify(percent, kind == "shingles"), _PAIRS), "links" if kind == "shingles" else "hopeful")
 
     def labelled(linked: DataFrame) -> DataFrame:
         return materialize(connected_components(linked, "a", "b"), "labels")
@@ -577,7 +580,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         order = ["home", "i", "j", F.asc_nulls_first("bucket"), F.asc_nulls_first("run")]
         return materialize(tiled.repartition("home", "i", "j").sortWithinPartitions(*order).mapInArrow(_spanning(percent, forest), _PAIRS).dropDuplicates(["home", "a", "b"]), "likely")
 
-    linked = verified(first)
+    # Whole sets travel for pairs that their shortenings, a quarter of the size, can't rule out.
+    hopeful = verified(first, "short")
+    discard(first)
+    linked = verified(hopeful)
+    discard(hopeful)
     labels, homes, forest, fresh = labelled(linked), None, True, True
     # Large places are thinned out by few tiles first. A forest whose links all hold leaves nothing to test; where some fail, all pairs are listed.
     while True:
@@ -590,7 +597,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         more = verified(likely)
         failed = materialize(likely.join(more, ["home", "a", "b"], "left_anti").select("home").distinct(), "failed")
         if not more.isEmpty():
-            linked = materialize(linked.unionByName(more), "links")
+            stars = labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+            discard(linked)
+            linked = materialize(stars.unionByName(more.select("a", "b")), "links")
             labels = labelled(linked)
         for done in (apart, cut, likely, more):
             discard(done)
@@ -603,7 +612,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "key")).alias("part")
     )
     placed = materialize(placed, "placed")
-    for done in (scan, classes, first, inside, stand, sets, linked, labels):
+    for done in (scan, classes, inside, stand, sets, linked, labels):
         discard(done)  # all that the result rests on is in placed
     low = placed.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("low"))
     return placed.join(low, "part", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
