@@ -32,7 +32,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Remove a table of materialize() that nothing reads any more."""
+    """Remove a table of materialize() that nothing reads any more, and let Spark's cleaner see which shuffles are done with."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -40,3 +40,4 @@ def discard(df: DataFrame) -> None:
         folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
         if "/kinloom-" in folder.toString():
             folder.getFileSystem(conf).delete(folder, True)
+    jvm.System.gc()

@@ -541,7 +541,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     stand = materialize(classes.select("key", "doc_id").join(inside.select("key").distinct(), "key"), "stand")
     few = stand.count() <= BROADCAST_IDS
     wanted = base.join(F.broadcast(stand) if few else stand, "doc_id").select("key", "text")
-    sets = materialize(wanted.mapInArrow(_sets(words, SHORT_BITS), _SETS).dropDuplicates(["key"]), "shingles")
+    sets = wanted.mapInArrow(_sets(words, SHORT_BITS), _SETS)
+    twice = member.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").join(stand, "doc_id", "left_semi")
+    sets = materialize(sets if twice.isEmpty() else sets.dropDuplicates(["key"]), "shingles")
     side = lambda name, kind: sets.select(F.col("key").alias(name), F.col(kind).alias(f"of_{name}"))
 
     def verified(pairs: DataFrame, kind: str = "shingles") -> DataFrame:

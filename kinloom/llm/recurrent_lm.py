@@ -2,14 +2,14 @@
 
 Vocabulary statistics come from every training document: token counts, their total N and number V,
 and the mass of each class. The WORDS most frequent tokens stand in frequency classes of equal mass and have
-word weights within their class. All other tokens, unseen ones too, stand in classes told by their
+word weights within their class; a class without a word has no probability. All other tokens, unseen ones too, stand in classes told by their
 spelling; there a token's share is its smoothed count. So
 P(token | history) = P(class | state) * P(token | class, state) sums to one over known tokens and
 one unseen token a class.
 
-The recurrent part (a gated recurrent unit in numpy) is fitted by truncated backpropagation: streams of
-documents in LANES lanes, windows of STEPS tokens, state carried across windows and reset where
-a document starts. A first network is fitted on about FIT_DOCS documents chosen by a hash. From it each partition
+The recurrent part is a minimal gated unit in numpy: h = h + z * (c - h), where the gate z and the candidate c are told by the input token, so a step is
+two table look-ups. It is fitted by truncated backpropagation: documents side by side, windows of STEPS tokens, state carried
+across windows. One task fits a first network on about FIT_DOCS documents chosen by a hash. From it each partition
 then makes a pass over all its training documents, WIDE side by side, and the networks are averaged by their tokens;
 so the fitted weights, not the counts, depend on how the input is split. Scoring runs documents side by side,
 sorted by length, window by window with state carried to the end of every document.
@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -41,7 +42,7 @@ from kinloom.runtime import ship
 
 HEAD, WORDS, WORD_CLASSES, TAIL_CLASSES = 262_144, 2000, 40, 16
 HIDDEN, EMBED = 24, 16
-FIT_DOCS, LANES, STEPS, EPOCHS, RATE = 1200, 64, 24, 2, 0.006
+FIT_DOCS, LANES, STEPS, EPOCHS, RATE = 1200, 64, 32, 2, 0.012
 WIDE, MERGED = 256, 64
 SIDE = 1024
 END = b""
@@ -88,27 +89,36 @@ class Vocabulary:
 
 @dataclass
 class Net:
-    table: np.ndarray  # input row -> 3 * HIDDEN pre-activations
-    recur: np.ndarray
+    """A minimal gated unit (Feng et al., 2024): update gate and candidate are told by the input token, so both are rows of tables."""
+
+    gate: np.ndarray  # input row -> HIDDEN, before the sigmoid
+    candidate: np.ndarray  # input row -> HIDDEN, before the hyperbolic tangent
     class_w: np.ndarray
-    class_b: np.ndarray
+    class_b: np.ndarray  # -inf where a class holds no word
     word_w: np.ndarray
     word_b: np.ndarray
 
     def params(self) -> list[np.ndarray]:
-        return [self.table, self.recur, self.class_w, self.class_b, self.word_w, self.word_b]
+        return [self.gate, self.candidate, self.class_w, self.class_b, self.word_w, self.word_b]
+
+    def activated(self, rows: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """(gates, candidates) of input rows."""
+        return 1 / (1 + np.exp(-self.gate[rows])), np.tanh(self.candidate[rows])
+
 
-    def step(self, rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        x, n = self.table[rows], h.shape[1]
-        both = 1 / (1 + np.exp(-(x[:, : 2 * n] + h @ self.recur[:, : 2 * n])))
-        z, r = both[:, :n], both[:, n:]
-        c = np.tanh(x[:, 2 * n :] + (r * h) @ self.recur[:, 2 * n :])
-        return h + z * (c - h), z, r, c
+def _shifted(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bool]:
+    """(weights with the bias as a last column, less a bound of all logits; whether that keeps the largest logit of any state from underflow). States lie in [-1, 1]."""
+    reach = np.abs(w).sum(1)
+    top = (b + reach).max()
+    return np.concatenate((w, (b - top)[:, None]), 1), bool((b - reach).max() > top - 60)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _exps(x: np.ndarray, w: np.ndarray, safe: bool) -> np.ndarray:
+    """exp of the logits of states (with a last column of ones), each row to its own scale."""
+    out = x @ w.T
+    if not safe:
+        out -= out.max(1, keepdims=True)
+    return np.exp(out, out=out)
 
 
 def new_net(v: Vocabulary) -> Net:
@@ -117,157 +127,146 @@ def new_net(v: Vocabulary) -> Net:
     mass = np.zeros(WORD_CLASSES + TAIL_CLASSES)
     np.add.at(mass, v.word_class, v.counts[: v.words])
     mass[WORD_CLASSES:] = v.tail_mass
+    bias = np.full(len(mass), -np.inf)
+    bias[mass > 0] = np.log(np.maximum(mass[mass > 0], 0.5))
     words = v.log_count[: v.words] if v.words else np.zeros(0)
     inputs = v.words + TAIL_CLASSES + 1
     return Net(
-        (rng.standard_normal((inputs, 3 * HIDDEN)) * 0.1).astype(real),
-        (rng.standard_normal((HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN) * 0.7).astype(real),
-        np.zeros((len(mass), HIDDEN), real), np.log(np.maximum(mass, 0.5)).astype(real),
+        (rng.standard_normal((inputs, HIDDEN)) * 0.3 + np.linspace(-2, 2, HIDDEN)).astype(real),
+        (rng.standard_normal((inputs, HIDDEN)) * 0.3).astype(real),
+        np.zeros((len(mass), HIDDEN), real), bias.astype(real),
         np.zeros((v.words, HIDDEN), real), words.astype(real),
     )
 
 
-def gradients(net: Net, v: Vocabulary, h: np.ndarray, row: np.ndarray, fresh: np.ndarray | None, cls: np.ndarray, word: np.ndarray) -> tuple[list[np.ndarray], int, np.ndarray]:
-    """Summed gradients over a window (lanes by steps; class -1 where a lane has ended), its live tokens, and the state after it."""
-    H, width = h.shape[1], row.shape[1]
-    saved = []
+def _runs(y: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by class, start of each class in it); 16-bit keys sort in linear time."""
+    order = np.argsort(y.astype(np.int16), kind="stable")
+    return order, np.concatenate(([0], np.cumsum(np.bincount(y, minlength=classes))))
+
+
+def gradients(net: Net, v: Vocabulary, h: np.ndarray, row: np.ndarray, cls: np.ndarray, word: np.ndarray) -> tuple[list, int, np.ndarray]:
+    """Summed gradients over a window (steps by lanes; class -1 where a lane has ended), its live tokens, and the state after it.
+
+    The first two gradients are (input rows, gradient) of the rows that occur."""
+    width, lanes = row.shape
+    H = h.shape[1]
+    seen = np.zeros(len(net.gate), bool)
+    seen[row] = True
+    at = np.flatnonzero(seen)
+    place = (np.cumsum(seen) - 1)[row]
+    z_at, c_at = net.activated(at)
+    z, c = z_at[place], c_at[place]
+    moved = np.empty((width, lanes, H), np.float32)  # candidate less state before
+    states = np.empty((width, lanes, H), np.float32)
     for t in range(width):
-        if fresh is not None:
-            h = h * (1 - fresh[:, t, None]).astype(np.float32)
-        after, z, r, c = net.step(row[:, t], h)
-        saved.append((h, z, r, c, after))
-        h = after
-    states = np.stack([s[4] for s in saved], 1)
+        np.subtract(c[t], h, out=moved[t])
+        np.multiply(z[t], moved[t], out=states[t])
+        states[t] += h
+        h = states[t]
     live = cls >= 0
-    x, y, yw = states[live], cls[live], word[live]
-    grads = [np.zeros_like(p) for p in net.params()]
-    if not len(y):
-        return grads, 0, h
-    p = np.exp(_log_softmax(x @ net.class_w.T + net.class_b))
+    y, w = cls[live], word[live]
+    by, cuts = _runs(y, WORD_CLASSES + TAIL_CLASSES)
+    y, w = y[by], w[by]
+    x = np.ones((len(y), H + 1), np.float32)
+    x[:, :H] = states[live][by]
+    weights, safe = _shifted(net.class_w, net.class_b)
+    p = _exps(x, weights, safe)
+    p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
     p[np.arange(len(y)), y] -= 1
     dx = p @ net.class_w
-    grads[2], grads[3] = p.T @ x, p.sum(0)
-    by = np.argsort(np.where(yw >= 0, y, WORD_CLASSES), kind="stable")
-    cuts = np.searchsorted(y[by[: int((yw >= 0).sum())]], np.arange(WORD_CLASSES + 1))
-    for k in np.flatnonzero(np.diff(cuts)):
-        mine = by[cuts[k] : cuts[k + 1]]
-        i, j = v.starts[k], v.starts[k + 1]
-        own = x[mine]
-        q = np.exp(_log_softmax(own @ net.word_w[i:j].T + net.word_b[i:j]))
-        q[np.arange(len(q)), yw[mine] - i] -= 1
-        dx[mine] += q @ net.word_w[i:j]
-        grads[4][i:j], grads[5][i:j] = q.T @ own, q.sum(0)
-    back = np.zeros_like(states)
+    class_g = p.T @ x
+    word_g = np.zeros((len(net.word_w), H + 1), np.float32)
+    for k in np.flatnonzero(np.diff(cuts[: WORD_CLASSES + 1])):
+        mine, words = slice(cuts[k], cuts[k + 1]), slice(v.starts[k], v.starts[k + 1])
+        if words.stop - words.start > 1:
+            weights, safe = _shifted(net.word_w[words], net.word_b[words])
+            q = _exps(x[mine], weights, safe)
+            q /= (q @ np.ones(q.shape[1], np.float32))[:, None]
+            q[np.arange(len(q)), w[mine] - words.start] -= 1
+            dx[mine] += q @ net.word_w[words]
+            word_g[words] = q.T @ x[mine]
+    inverse = np.empty_like(by)
+    inverse[by] = np.arange(len(by))
+    dx = dx[inverse]
+    back = np.zeros((width, lanes, H), np.float32)
     back[live] = dx
-    dh = np.zeros_like(h)
-    inner, gated = net.recur[:, 2 * H :].T, net.recur[:, : 2 * H].T
-    moved = np.empty((width, len(h), 3 * H), np.float32)
+    dz, keep = moved, np.subtract(1, z)
+    dh = np.zeros((lanes, H), np.float32)
     for t in range(width - 1, -1, -1):
-        before, z, r, c, _ = saved[t]
-        dh = dh + back[:, t]
-        dc = dh * z * (1 - c * c)
-        du = dc @ inner
-        moved[t, :, :H] = dh * (c - before) * z * (1 - z)
-        moved[t, :, H : 2 * H] = du * before * r * (1 - r)
-        moved[t, :, 2 * H :] = dc
-        dh = dh * (1 - z) + du * r + moved[t, :, : 2 * H] @ gated
-        if fresh is not None:
-            dh *= 1 - fresh[:, t, None]
-    before, r = (np.stack([s[i] for s in saved]).reshape(-1, H) for i in (0, 2))
-    flat = moved.reshape(-1, 3 * H)
-    grads[1][:, : 2 * H] = before.T @ flat[:, : 2 * H]
-    grads[1][:, 2 * H :] = (r * before).T @ flat[:, 2 * H :]
-    rows = row.T.ravel()
-    by = np.argsort(rows, kind="stable")
-    at, first = np.unique(rows[by], return_index=True)
-    grads[0][at] = np.add.reduceat(flat[by], first, 0)
-    return grads, len(y), h
+        dh += back[t]
+        dz[t] *= dh
+        np.multiply(dh, z[t], out=back[t])  # now the candidate's
+        dh *= keep[t]
+    flat = place.ravel()
+    dz, dc = (np.stack([np.bincount(flat, c, len(at)) for c in np.ascontiguousarray(d.reshape(-1, H).T)], 1).astype(np.float32) for d in (dz, back))
+    return [(at, dz * z_at * (1 - z_at)), (at, dc * (1 - c_at * c_at)), class_g[:, :H], class_g[:, H], word_g[:, :H], word_g[:, H]], len(y), h
 
 
 class Descent:
-    """Adam with a clipped norm and a short rise of the rate; changes the network in place."""
+    """Adam with a clipped norm and a short rise of the rate; changes the network in place, of the tables the rows that occur."""
 
     def __init__(self, net: Net) -> None:
         self.params = net.params()
         self.first, self.second = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
         self.steps = 0
 
-    def step(self, grads: list[np.ndarray], tokens: int) -> None:
+    def step(self, grads: list, tokens: int) -> None:
         scale = np.float32(1 / tokens)
         self.steps += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads)) * float(scale)
+        plain = [g[1] if isinstance(g, tuple) else g for g in grads]
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in plain)) * float(scale)
         clip = scale * np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-        rate = RATE * min(1.0, self.steps / 20)
-        for p, g, m, s in zip(self.params, grads, self.first, self.second, strict=True):
+        rate = np.float32(RATE * min(1.0, self.steps / 20) / (1 - 0.9**self.steps))
+        even = np.float32(1 / np.sqrt(1 - 0.99**self.steps))
+        for p, told, g, m, s in zip(self.params, grads, plain, self.first, self.second, strict=True):
+            at = told[0] if isinstance(told, tuple) else slice(None)
             g = g * clip
-            m += np.float32(0.1) * (g - m)
-            s += np.float32(0.01) * (g * g - s)
-            p -= np.float32(rate) * (m / np.float32(1 - 0.9**self.steps)) / (np.sqrt(s / np.float32(1 - 0.99**self.steps)) + np.float32(1e-6))
+            first = m[at] * np.float32(0.9) + g * np.float32(0.1)
+            second = s[at] * np.float32(0.99) + g * g * np.float32(0.01)
+            m[at], s[at] = first, second
+            p[at] -= rate * first / (np.sqrt(second) * even + np.float32(1e-6))
 
 
 def fit(v: Vocabulary, streams: list[tuple[np.ndarray, np.ndarray]]) -> Net:
-    """Truncated backpropagation over documents given as (classes, words); word -1 where the class is spelled."""
+    """A new network after EPOCHS passes over documents given as (classes, words); word -1 where the class is spelled."""
     net = new_net(v)
-    if not streams:
-        return net
-    lanes: list[list] = [[] for _ in range(LANES)]
-    fill = [0] * LANES
-    for doc in streams:
-        k = fill.index(min(fill))
-        lanes[k].append(doc)
-        fill[k] += len(doc[0])
-    length = max(fill)
-    cls, word, row, fresh = (np.full((LANES, length), x, np.int64) for x in (-1, -1, 0, 0))
-    for k, docs in enumerate(lanes):
-        at = 0
-        for c, w in docs:
-            n = len(c)
-            cls[k, at : at + n], word[k, at : at + n] = c, w
-            inputs = np.where(w >= 0, w, v.words + c - WORD_CLASSES)
-            row[k, at] = v.words + TAIL_CLASSES
-            row[k, at + 1 : at + n] = inputs[:-1]
-            fresh[k, at] = 1
-            at += n
     descent = Descent(net)
     for _ in range(EPOCHS):
-        h = np.zeros((LANES, HIDDEN), np.float32)
-        for begin in range(0, length, STEPS):
-            span = slice(begin, begin + STEPS)
-            grads, tokens, h = gradients(net, v, h, row[:, span], fresh[:, span], cls[:, span], word[:, span])
-            if not tokens:
-                break
-            descent.step(grads, tokens)
+        fit_more(net, v, descent, streams, LANES)
     return net
 
 
+def _window(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, begin: int, width: int, none: int) -> np.ndarray:
+    """Steps by lanes of documents laid end to end; none before and after a document."""
+    step = begin + np.arange(width)[:, None]
+    inside = (step >= 0) & (step < sizes)
+    out = flat[np.where(inside, starts + step, 0)]
+    out[~inside] = none
+    return out
+
+
 def fit_more(net: Net, v: Vocabulary, descent: Descent, streams: list[tuple[np.ndarray, np.ndarray]], wide: int) -> None:
-    """One pass of truncated backpropagation over all the documents, those of like length side by side."""
+    """One pass of truncated backpropagation over all the documents, those of like length side by side; state is carried from window to window."""
     order = sorted(range(len(streams)), key=lambda i: -len(streams[i][0]))
     groups = [order[i : i + wide] for i in range(0, len(order), wide)]
     for g in np.random.default_rng(len(streams)).permutation(len(groups)):
         docs = [streams[i] for i in groups[g]]
         sizes = np.array([len(c) for c, _ in docs])
+        starts = np.cumsum(sizes) - sizes
+        cls, word = (np.concatenate([d[k] for d in docs]) for k in (0, 1))
+        row = np.where(word >= 0, word, v.words + cls - WORD_CLASSES)
         h = np.zeros((len(docs), HIDDEN), np.float32)
         for begin in range(0, int(sizes[0]), STEPS):
             active, width = int((sizes > begin).sum()), min(STEPS, int(sizes[0]) - begin)
-            cls, word, row = (np.full((active, width), x, np.int64) for x in (-1, -1, 0))
-            for k in range(active):
-                c, w = (x[max(begin - 1, 0) : begin + width] for x in docs[k])
-                inputs = np.where(w >= 0, w, v.words + c - WORD_CLASSES)
-                if begin == 0:
-                    row[k, 0] = v.words + TAIL_CLASSES
-                    row[k, 1 : len(c)], cls[k, : len(c)], word[k, : len(c)] = inputs[:-1], c, w
-                else:
-                    n = len(c) - 1
-                    row[k, :n], cls[k, :n], word[k, :n] = inputs[:-1], c[1:], w[1:]
-            grads, tokens, h = gradients(net, v, h[:active], row, None, cls, word)
+            at = (starts[:active], sizes[:active])
+            grads, tokens, h = gradients(net, v, h[:active], _window(row, *at, begin - 1, width, v.words + TAIL_CLASSES), _window(cls, *at, begin, width, -1), _window(word, *at, begin, width, -1))
             descent.step(grads, tokens)
 
 
 def classes_of(v: Vocabulary, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(index in the head or -1, class) of each token."""
-    get = v.index.get
-    index = np.array([get(t, -1) for t in tokens], np.int64)
+    index = np.fromiter(map(v.index.get, tokens, repeat(-1)), np.int64, len(tokens))
     cls = v.spelled[index] if len(v.spelled) else np.zeros(len(index), np.int64)
     for i in np.flatnonzero(index < 0):
         cls[i] = WORD_CLASSES + tail_class(tokens[i])
@@ -279,46 +278,45 @@ def score_documents(net: Net, v: Vocabulary, docs: list[tuple[np.ndarray, np.nda
     out = np.zeros(len(docs))
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i][0]))
     log_mass = np.log(np.maximum(v.tail_mass, 0.5))
+    gate, candidate = net.activated()
+    class_w = _shifted(net.class_w, net.class_b)
+    word_w = [_shifted(net.word_w[i:j], net.word_b[i:j]) if j > i else None for i, j in zip(v.starts, v.starts[1:])]
     for group in (order[i : i + SIDE] for i in range(0, len(order), SIDE)):
         sizes = np.array([len(docs[i][0]) for i in group])
+        starts = np.cumsum(sizes) - sizes
+        index, cls = (np.concatenate([docs[i][k] for i in group]) for k in (0, 1))
+        row = np.where((index >= 0) & (index < v.words), index, v.words + cls - WORD_CLASSES)
         h = np.zeros((len(group), HIDDEN), np.float32)
-        for begin in range(0, int(sizes[0]), 64):
-            active = int((sizes > begin).sum())
-            width = min(64, int(sizes[0]) - begin)
-            index, cls, rows = np.full((active, width), -1, np.int64), np.full((active, width), -1, np.int64), np.zeros((active, width), np.int64)
-            for k in range(active):
-                di, dc = docs[group[k]]
-                n = min(width, len(di) - begin)
-                index[k, :n], cls[k, :n] = di[begin : begin + n], dc[begin : begin + n]
-                i = max(begin - 1, 0)
-                before, before_c = di[i : begin + n - 1], dc[i : begin + n - 1]
-                rows[k, n - len(before) : n] = np.where((before >= 0) & (before < v.words), before, v.words + before_c - WORD_CLASSES)
-                if begin == 0:
-                    rows[k, 0] = v.words + TAIL_CLASSES
+        for begin in range(0, int(sizes[0]), STEPS):
+            active, width = int((sizes > begin).sum()), min(STEPS, int(sizes[0]) - begin)
+            at = (starts[:active], sizes[:active])
+            rows = _window(row, *at, begin - 1, width, v.words + TAIL_CLASSES)
+            y, w = _window(cls, *at, begin, width, -1), _window(index, *at, begin, width, -1)
+            z, states = gate[rows], candidate[rows]
             h = h[:active]
-            states = np.empty((active, width, HIDDEN), np.float32)
             for t in range(width):
-                n = int((sizes[:active] > begin + t).sum())
-                fresh = net.step(rows[:n, t], h[:n])[0]
-                states[:n, t] = fresh
-                h = np.concatenate([fresh, h[n:]]) if n < len(h) else fresh
-            live = cls >= 0
-            x, y, w = states[live], cls[live], index[live]
-            logs = _log_softmax(x @ net.class_w.T + net.class_b)[np.arange(len(y)), y].astype(np.float64)
-            spelled = y >= WORD_CLASSES
-            logs[spelled] -= log_mass[y[spelled] - WORD_CLASSES]
-            known = spelled & (w >= 0)
-            logs[known] += v.log_count[w[known]]
-            by = np.argsort(np.where(spelled, WORD_CLASSES, y), kind="stable")
-            cuts = np.searchsorted(y[by[: len(by) - int(spelled.sum())]], np.arange(WORD_CLASSES + 1))
-            for k in range(WORD_CLASSES):
-                mine = by[cuts[k] : cuts[k + 1]]
-                if len(mine):
-                    i, j = v.starts[k], v.starts[k + 1]
-                    logs[mine] += _log_softmax(x[mine] @ net.word_w[i:j].T + net.word_b[i:j])[np.arange(len(mine)), w[mine] - i]
-            total = np.zeros((active, width))
-            total[live] = logs
-            out[group[:active]] += total.sum(1)
+                states[t] -= h
+                states[t] *= z[t]
+                states[t] += h
+                h = states[t]
+            live = y >= 0
+            x, y, w = states[live], y[live], w[live]
+            by, cuts = _runs(y, WORD_CLASSES + TAIL_CLASSES)
+            y, w = y[by], w[by]
+            x = np.concatenate((x[by], np.ones((len(y), 1), np.float32)), 1)
+            q = _exps(x, *class_w)
+            logs = np.log(q[np.arange(len(y)), y].astype(np.float64) / (q @ np.ones(q.shape[1], np.float32)))
+            spelled = slice(cuts[WORD_CLASSES], None)
+            logs[spelled] += np.where(w[spelled] >= 0, v.log_count[w[spelled]], 0.0) - log_mass[y[spelled] - WORD_CLASSES]
+            for k in np.flatnonzero(np.diff(cuts[: WORD_CLASSES + 1])):
+                mine = slice(cuts[k], cuts[k + 1])
+                q = _exps(x[mine], *word_w[k])
+                logs[mine] += np.log(q[np.arange(len(q)), w[mine] - v.starts[k]].astype(np.float64) / (q @ np.ones(q.shape[1], np.float32)))
+            back = np.empty(len(y))
+            back[by] = logs
+            total = np.zeros(live.shape)
+            total[live] = back
+            out[group[:active]] += total.sum(0)
     return out
 
 
@@ -413,7 +411,7 @@ def _fitted_row(part: int, tokens: int, weights: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([tokens], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["part", "tokens", "weights"])
 
 
-def _fit_partition(shared, wide: int):
+def _fit_partition(shared, wide: int, passes: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = v = descent = None
         seen = 0
@@ -427,7 +425,8 @@ def _fit_partition(shared, wide: int):
                     index, cls = classes_of(v, tokens_of(x.as_py()))
                     streams.append((cls, np.where(index < v.words, index, -1)))
                     seen += len(cls)
-                fit_more(net, v, descent, streams, wide)
+                for _ in range(passes):
+                    fit_more(net, v, descent, streams, wide)
         if seen:
             yield _fitted_row(TaskContext.get().partitionId(), seen, np.concatenate([p.ravel() for p in net.params()]).astype(np.float64))
 
@@ -447,20 +446,28 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_fitted_row(min(r[0] for r in rows), *_mean(rows))])
 
 
+def _net_of(net: Net, weights: np.ndarray) -> Net:
+    params, at = [], 0
+    for p in net.params():
+        params.append(weights[at : at + p.size].reshape(p.shape).astype(np.float32))
+        at += p.size
+    return Net(*params)
+
+
+def fit_first(net: Net, v: Vocabulary, sample: DataFrame) -> Net:
+    """The network after EPOCHS passes over the sample (text), in one task."""
+    shared = sample.sparkSession.sparkContext.broadcast(pickle.dumps((net, v)))
+    found = sample.repartition(1).sortWithinPartitions("text").mapInArrow(_fit_partition(shared, LANES, EPOCHS), _FITTED).collect()
+    return _net_of(net, np.frombuffer(found[0]["weights"])) if found else net
+
+
 def fit_all(net: Net, v: Vocabulary, docs: DataFrame, text: str = "text") -> Net:
     """The network after a pass over all rows of docs from net: one a partition, averaged, MERGED of them in a task before the driver."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((net, v)))
     fitted = docs.select(F.col(text)).mapInArrow(_fit_partition(shared, WIDE), _FITTED)
     merged = fitted.groupBy(F.floor(F.col("part") / MERGED).alias("g")).applyInArrow(_merge, _FITTED)
     rows = [(r["part"], r["tokens"], bytes(r["weights"])) for r in merged.collect()]
-    if not rows:
-        return net
-    mean = _mean(rows)[1].astype(np.float32)
-    params, at = [], 0
-    for p in net.params():
-        params.append(mean[at : at + p.size].reshape(p.shape))
-        at += p.size
-    return Net(*params)
+    return _net_of(net, _mean(rows)[1]) if rows else net
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Net, Vocabulary, DataFrame]:
@@ -468,14 +475,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     counted = docs.select(F.col(text)).mapInArrow(_count, _COUNTED).groupBy("token", "spelled").agg(F.sum("c").alias("c"))
     counts = materialize(counted, "counts")
     v = read_vocabulary(counts)
-    rows = docs.count()
-    share = F.lit(min(1.0, FIT_DOCS / max(rows, 1)) * float(1 << 30))
-    picked = docs.where(F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("fit")), F.lit(1 << 30)) < share).select(F.col(doc_id).cast("string").alias("i"), F.col(text).alias("t")).collect()
-    streams = []
-    for r in sorted(picked, key=lambda r: (r["i"] or "", r["t"] or "")):
-        index, cls = classes_of(v, tokens_of(r["t"]))
-        streams.append((cls, np.where((index >= 0) & (index < v.words), index, -1)))
-    return fit_all(fit(v, streams), v, docs, text), v, counts
+    share = F.lit(min(1.0, FIT_DOCS / max(docs.count(), 1)) * float(1 << 30))
+    sample = docs.where(F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("fit")), F.lit(1 << 30)) < share).select(F.col(text).alias("text"))
+    return fit_all(fit_first(new_net(v), v, sample), v, docs, text), v, counts
 
 
 def score_likelihood(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
