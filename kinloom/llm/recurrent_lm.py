@@ -43,7 +43,7 @@ from kinloom.runtime import ship
 HEAD, WORDS, WORD_CLASSES, TAIL_CLASSES = 262_144, 2000, 40, 16
 HIDDEN, EMBED = 24, 16
 FIT_DOCS, LANES, STEPS, EPOCHS, RATE = 1200, 64, 32, 2, 0.012
-WIDE, MERGED = 256, 64
+WIDE, MERGED, LEVELS = 256, 8, 3
 SIDE = 1024
 END = b""
 
@@ -156,7 +156,7 @@ def gradients(net: Net, v: Vocabulary, h: np.ndarray, row: np.ndarray, cls: np.n
     at = np.flatnonzero(seen)
     place = (np.cumsum(seen) - 1)[row]
     z_at, c_at = net.activated(at)
-    z, c = z_at[place], c_at[place]
+    z, c = z_at.take(place, 0), c_at.take(place, 0)
     moved = np.empty((width, lanes, H), np.float32)  # candidate less state before
     states = np.empty((width, lanes, H), np.float32)
     for t in range(width):
@@ -164,12 +164,12 @@ def gradients(net: Net, v: Vocabulary, h: np.ndarray, row: np.ndarray, cls: np.n
         np.multiply(z[t], moved[t], out=states[t])
         states[t] += h
         h = states[t]
-    live = cls >= 0
-    y, w = cls[live], word[live]
-    by, cuts = _runs(y, WORD_CLASSES + TAIL_CLASSES)
-    y, w = y[by], w[by]
+    live = np.flatnonzero(cls.ravel() >= 0)
+    by, cuts = _runs(cls.ravel()[live], WORD_CLASSES + TAIL_CLASSES)
+    live = live[by]
+    y, w = cls.ravel()[live], word.ravel()[live]
     x = np.ones((len(y), H + 1), np.float32)
-    x[:, :H] = states[live][by]
+    x[:, :H] = states.reshape(-1, H).take(live, 0)
     weights, safe = _shifted(net.class_w, net.class_b)
     p = _exps(x, weights, safe)
     p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
@@ -186,11 +186,8 @@ def gradients(net: Net, v: Vocabulary, h: np.ndarray, row: np.ndarray, cls: np.n
             q[np.arange(len(q)), w[mine] - words.start] -= 1
             dx[mine] += q @ net.word_w[words]
             word_g[words] = q.T @ x[mine]
-    inverse = np.empty_like(by)
-    inverse[by] = np.arange(len(by))
-    dx = dx[inverse]
     back = np.zeros((width, lanes, H), np.float32)
-    back[live] = dx
+    back.reshape(-1, H)[live] = dx
     dz, keep = moved, np.subtract(1, z)
     dh = np.zeros((lanes, H), np.float32)
     for t in range(width - 1, -1, -1):
@@ -237,12 +234,18 @@ def fit(v: Vocabulary, streams: list[tuple[np.ndarray, np.ndarray]]) -> Net:
     return net
 
 
-def _window(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, begin: int, width: int, none: int) -> np.ndarray:
-    """Steps by lanes of documents laid end to end; none before and after a document."""
+def _window(starts: np.ndarray, sizes: np.ndarray, begin: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (steps by lanes) in documents laid end to end, and which lie after the documents' ends."""
     step = begin + np.arange(width)[:, None]
-    inside = (step >= 0) & (step < sizes)
-    out = flat[np.where(inside, starts + step, 0)]
-    out[~inside] = none
+    over = step >= sizes
+    return np.where(over, 0, starts + step), over
+
+
+def _inputs(row: np.ndarray, at: np.ndarray, begin: int, start: int) -> np.ndarray:
+    """The tokens before those places; start for the first of a document."""
+    out = row.take(np.maximum(at - 1, 0))
+    if begin == 0:
+        out[0] = start
     return out
 
 
@@ -259,8 +262,10 @@ def fit_more(net: Net, v: Vocabulary, descent: Descent, streams: list[tuple[np.n
         h = np.zeros((len(docs), HIDDEN), np.float32)
         for begin in range(0, int(sizes[0]), STEPS):
             active, width = int((sizes > begin).sum()), min(STEPS, int(sizes[0]) - begin)
-            at = (starts[:active], sizes[:active])
-            grads, tokens, h = gradients(net, v, h[:active], _window(row, *at, begin - 1, width, v.words + TAIL_CLASSES), _window(cls, *at, begin, width, -1), _window(word, *at, begin, width, -1))
+            at, over = _window(starts[:active], sizes[:active], begin, width)
+            y = cls.take(at)
+            y[over] = -1
+            grads, tokens, h = gradients(net, v, h[:active], _inputs(row, at, begin, v.words + TAIL_CLASSES), y, word.take(at))
             descent.step(grads, tokens)
 
 
@@ -289,21 +294,21 @@ def score_documents(net: Net, v: Vocabulary, docs: list[tuple[np.ndarray, np.nda
         h = np.zeros((len(group), HIDDEN), np.float32)
         for begin in range(0, int(sizes[0]), STEPS):
             active, width = int((sizes > begin).sum()), min(STEPS, int(sizes[0]) - begin)
-            at = (starts[:active], sizes[:active])
-            rows = _window(row, *at, begin - 1, width, v.words + TAIL_CLASSES)
-            y, w = _window(cls, *at, begin, width, -1), _window(index, *at, begin, width, -1)
-            z, states = gate[rows], candidate[rows]
+            at, over = _window(starts[:active], sizes[:active], begin, width)
+            rows = _inputs(row, at, begin, v.words + TAIL_CLASSES)
+            z, states = gate.take(rows, 0), candidate.take(rows, 0)
             h = h[:active]
             for t in range(width):
                 states[t] -= h
                 states[t] *= z[t]
                 states[t] += h
                 h = states[t]
-            live = y >= 0
-            x, y, w = states[live], y[live], w[live]
-            by, cuts = _runs(y, WORD_CLASSES + TAIL_CLASSES)
-            y, w = y[by], w[by]
-            x = np.concatenate((x[by], np.ones((len(y), 1), np.float32)), 1)
+            live = np.flatnonzero(~over.ravel())
+            by, cuts = _runs(cls.take(at.ravel()[live]), WORD_CLASSES + TAIL_CLASSES)
+            live = live[by]
+            y, w = cls.take(at.ravel()[live]), index.take(at.ravel()[live])
+            x = np.ones((len(y), HIDDEN + 1), np.float32)
+            x[:, :HIDDEN] = states.reshape(-1, HIDDEN).take(live, 0)
             q = _exps(x, *class_w)
             logs = np.log(q[np.arange(len(y)), y].astype(np.float64) / (q @ np.ones(q.shape[1], np.float32)))
             spelled = slice(cuts[WORD_CLASSES], None)
@@ -312,11 +317,7 @@ def score_documents(net: Net, v: Vocabulary, docs: list[tuple[np.ndarray, np.nda
                 mine = slice(cuts[k], cuts[k + 1])
                 q = _exps(x[mine], *word_w[k])
                 logs[mine] += np.log(q[np.arange(len(q)), w[mine] - v.starts[k]].astype(np.float64) / (q @ np.ones(q.shape[1], np.float32)))
-            back = np.empty(len(y))
-            back[by] = logs
-            total = np.zeros(live.shape)
-            total[live] = back
-            out[group[:active]] += total.sum(0)
+            out[group[:active]] += np.bincount(live % active, logs, active)
     return out
 
 
@@ -462,11 +463,12 @@ def fit_first(net: Net, v: Vocabulary, sample: DataFrame) -> Net:
 
 
 def fit_all(net: Net, v: Vocabulary, docs: DataFrame, text: str = "text") -> Net:
-    """The network after a pass over all rows of docs from net: one a partition, averaged, MERGED of them in a task before the driver."""
+    """The network after a pass over all rows of docs from net: one a partition, averaged, MERGED of them in a task, LEVELS times before the driver."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((net, v)))
     fitted = docs.select(F.col(text)).mapInArrow(_fit_partition(shared, WIDE), _FITTED)
-    merged = fitted.groupBy(F.floor(F.col("part") / MERGED).alias("g")).applyInArrow(_merge, _FITTED)
-    rows = [(r["part"], r["tokens"], bytes(r["weights"])) for r in merged.collect()]
+    for level in range(1, LEVELS + 1):
+        fitted = fitted.groupBy(F.floor(F.col("part") / MERGED**level).alias("g")).applyInArrow(_merge, _FITTED)
+    rows = [(r["part"], r["tokens"], bytes(r["weights"])) for r in fitted.collect()]
     return _net_of(net, _mean(rows)[1]) if rows else net
 
 
