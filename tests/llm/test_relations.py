@@ -9,6 +9,8 @@ import duckdb
 import numpy as np
 import pytest
 from common import SCHEMA, WORDS, documents, frame
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from test_texts import duck, rows_of
 
 from kinloom.llm import _graph, chat_format, html_text, jaccard_join, source_mix, url_filter, vector_topk
@@ -268,6 +270,38 @@ def test_bounds_stop_early():
         assert ci[qi == i].tolist() == order.tolist() and score[qi == i].tolist() == full[i][order].tolist()
 
 
+LONGS = st.integers(-(2**63), 2**63 - 1) | st.integers(-300, 300) | st.sampled_from([-(2**63), 2**63 - 1, 0])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 4).flatmap(lambda d: st.tuples(st.lists(st.lists(LONGS, min_size=d, max_size=d), min_size=1, max_size=4), st.lists(st.lists(LONGS, min_size=d, max_size=d), min_size=1, max_size=9))))
+def test_any_integers_are_exact_or_an_error(both):
+    q, c = both
+    want, over = [], False
+    for i, a in enumerate(q):
+        best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), 100 + j) for j, b in enumerate(c))[:2]
+        over |= any(abs(s) >= 2**63 for s, _ in best)
+        want += [(i, j - 100, -s) for s, j in best]
+    run = lambda: vector_topk.search_block(np.arange(len(q)), np.array(q, np.int64), np.arange(100, 100 + len(c)), np.array(c, np.int64), 2)
+    if over:
+        with pytest.raises(OverflowError):
+            run()
+    else:
+        qi, ci, score = run()
+        assert list(zip(qi.tolist(), ci.tolist(), score.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("value", [1e300, -1e17, 3.6e16])
+def test_components_beyond_64_bits_are_an_error(spark, value):
+    df = spark.createDataFrame([(50, [value, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    v = df.select("vec_id", vector_topk.quantise(df["embedding"]).alias("vector"))
+    if value == -1e17 or value > 2**63 / 256:
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            v.collect()
+    else:
+        assert v.count() == 2
+
+
 def test_pages(spark):
     menu = "<nav><ul><li>Home<li>News</ul></nav>"
     article = "<article><header><h1>Title &amp; more</h1></header><p>One <b>bold\n  word</b>.<p>Two<br>lines.<div class='share'>Tweet</div></article>"
