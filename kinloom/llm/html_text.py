@@ -1,12 +1,12 @@
-"""Main text of web pages by structure and nearest-URL page differencing.
+"""Main text of web pages by nearest-URL page differencing, and structure for what it leaves.
 
 A page is cut into lines, one a block element, with character references decoded and white
-space folded. Lines inside menus, headers, footers, sidebars, forms, notices, adverts, comments
-and raw-text elements are dropped by element, role and class. Where the page marks an article
-(article or main), only the lines in it are taken. Then the page is paired with the
-nearest urls of its host (by path), lines are aligned by longest common subsequence, and shared
-lines are deleted. Inside a marked article shared lines of paragraphs, headings, lists, quotes and tables
-stay: articles quote the same passages, and deleting them would lose text.
+space folded; menus, notices and all else that shows text give lines too. The page is paired with the
+nearest urls of its host (by path), all lines are aligned by longest common subsequence, and shared
+lines are deleted. Only shared prose of a marked article (paragraphs, headings, lists, quotes and tables in article or main)
+stays: articles quote the same passages, and deleting them would lose text. Of what differencing leaves, structure then drops
+lines that no other page shares and that still aren't main text: by element, role and class (menus, headers, footers, sidebars,
+forms, notices, adverts, comments), and, where the page marks an article, lines outside it.
 
 Pages are dealt into ranges of (host, path, id), bounds taken from a sample, so that a host of any size takes many tasks.
 A first pass tells each range what lies before and after it; so the nearest url is the same wherever
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from kinloom.llm._store import materialize
 from kinloom.runtime import ship
 
 RANGE, RANGES = 100, 4096  # pages a range where there are few, ranges at most
@@ -42,7 +43,8 @@ ALIKE = 0.1
 #: Elements by their part in a page.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CHROME = frozenset("nav footer aside form dialog menu button select template noscript svg canvas object audio video head".split())
+CHROME = frozenset("nav footer aside form dialog menu button select".split())
+UNSEEN = frozenset("template noscript svg canvas object audio video head".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -81,26 +83,27 @@ def _is_chrome(tag: str, rest: str, inside: bool) -> bool:
 
 
 def page_lines(html: str) -> tuple[list[str], bool]:
-    """Lines of a page without chrome, and whether they come from a marked article."""
+    """Lines of a page that structure takes for main text, and whether they come from a marked article."""
     lines, marked = told_lines(html)
-    return [x for x, _ in lines], marked
+    return [x for x, own, _ in lines if own], marked
 
 
-def told_lines(html: str) -> tuple[list[tuple[str, bool]], bool]:
-    """Lines of a page without chrome, each with whether it is prose of a marked article, and whether there is one."""
-    lines: list[tuple[str, bool, bool]] = []
-    pieces: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, chrome here or above, article here or above
+def told_lines(html: str) -> tuple[list[tuple[str, bool, bool]], bool]:
+    """All lines of a page, each with whether structure takes it for main text and whether it is prose of a marked article, and whether there is one."""
+    lines: list[tuple[str, bool, bool, bool]] = []
+    pieces: tuple[list[str], list[str]] = ([], [])  # main text, chrome
+    stack: list[tuple[str, int, bool]] = []  # open elements: tag, chrome (2: unseen) here or above, article here or above
     marked = False
     place, end, low = 0, len(html), None
 
     def flush() -> None:
-        if pieces:
-            line = " ".join(unescape("".join(pieces)).split())
-            if line:
-                inside = bool(stack and stack[-1][2])
-                lines.append((line, inside, inside and any(x[0] in PROSE for x in stack)))
-            pieces.clear()
+        for chrome, held in enumerate(pieces):
+            if held:
+                line = " ".join(unescape("".join(held)).split())
+                if line:
+                    inside = bool(stack and stack[-1][2])
+                    lines.append((line, not chrome, inside, not chrome and inside and any(x[0] in PROSE for x in stack)))
+                held.clear()
 
     def drop(stop: str) -> None:
         """Close elements down to the innermost one of that name, if it is open."""
@@ -112,21 +115,22 @@ def told_lines(html: str) -> tuple[list[tuple[str, bool]], bool]:
     while place < end:
         m = _TOKEN.search(html, place)
         cut = m.start() if m else end
-        if cut > place and not (stack and stack[-1][1]):
-            pieces.append(html[place:cut])
+        kind = stack[-1][1] if stack else 0
+        if cut > place and kind < 2:
+            pieces[kind].append(html[place:cut])
         if not m:
             break
         place = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
-            if m[0].startswith("<![CDATA[") and not (stack and stack[-1][1]):
-                pieces.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+            if m[0].startswith("<![CDATA[") and kind < 2:
+                pieces[kind].append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         rest = m["rest"] if m["tag"] else m["rest2"]
         if tag in BLOCK:
             flush()
         elif tag == "br":
-            pieces.append(" ")
+            pieces[kind % 2].append(" ")
         if (m["end"] or m["end2"]) == "/":
             drop(tag)
             continue
@@ -136,7 +140,7 @@ def told_lines(html: str) -> tuple[list[tuple[str, bool]], bool]:
             low = low or html.lower()
             stop = low.find(f"</{tag}", place) if len(low) == end else html.find(f"</{tag}", place)
             place = end if stop < 0 else stop
-            stack.append((tag, True, bool(stack and stack[-1][2])))
+            stack.append((tag, 2, bool(stack and stack[-1][2])))
             continue
         names = [x[0] for x in stack[-8:]]
         if tag in BLOCK and "p" in names:
@@ -145,15 +149,15 @@ def told_lines(html: str) -> tuple[list[tuple[str, bool]], bool]:
             stack.pop()
         if tag == "body":
             drop("head")
-        chrome, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        chrome = chrome or _is_chrome(tag, rest, inside)
+        chrome, inside = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+        chrome = 2 if tag in UNSEEN else chrome or int(_is_chrome(tag, rest, inside))
         if tag in ("article", "main") and not chrome:
             inside = marked = True
         stack.append((tag, chrome, inside))
     flush()
     if marked:
-        return [(x, prose) for x, inside, prose in lines if inside], True
-    return [(x, False) for x, _, _ in lines], False
+        return [(x, own and inside, prose) for x, own, inside, prose in lines], True
+    return [(x, own, False) for x, own, _, _ in lines], False
 
 
 def common_lines(a: list, b: list) -> set[int]:
@@ -194,20 +198,21 @@ def unshared(keys: list, path: str, before: tuple[str, list] | None, after: tupl
     return [i for i in range(len(keys)) if prose[i] or i not in gone]
 
 
-_LINES = T.StructType([T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("prose", T.ArrayType(T.BooleanType()))])
+_LINES = T.StructType([T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("own", T.ArrayType(T.BooleanType())), T.StructField("prose", T.ArrayType(T.BooleanType()))])
 
 
 def lines_column(html: Column) -> Column:
-    """struct(lines, prose) of a page."""
+    """struct(lines, own, prose) of a page."""
 
     def cut(pages: pa.Array) -> pa.Array:
         found = [told_lines(x.as_py() or "")[0] for x in pages]
-        return pa.StructArray.from_arrays([pa.array([[x for x, _ in p] for p in found], pa.list_(pa.string())), pa.array([[y for _, y in p] for p in found], pa.list_(pa.bool_()))], ["lines", "prose"])
+        kinds = (pa.string(), pa.bool_(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array([[x[i] for x in p] for p in found], pa.list_(kind)) for i, kind in enumerate(kinds)], _LINES.names)
 
     return F.arrow_udf(cut, _LINES)(html)
 
 
-Page = tuple[str, str, list, list]  # host, path, keys and lengths of lines
+Page = tuple[str, str, list, list]  # host, path, keys of lines, their lengths (0 where structure says chrome)
 
 
 def alike(a: Page, b: Page) -> bool:
@@ -277,11 +282,10 @@ def _difference(shared, kind: pa.DataType):
         first, last = shared.value.get(rows[0]["bucket"], (None, None))
         before, after = neighbours_before(pages, first), neighbours_before(pages[::-1], last)[::-1]
         texts = []
-        at = [i for i, r in enumerate(rows) if not r["whole"]]
-        for i in at:
-            (_, path, keys, _), b, a = pages[i], before[i], after[i]
-            texts.append("\n".join(rows[i]["lines"][k] for k in unshared(keys, path, b and b[1:3], a and a[1:3], rows[i]["prose"])))
-        return pa.table({"page_id": pa.array([rows[i]["page_id"] for i in at], kind), "url": pa.array([rows[i]["url"] for i in at], pa.string()), "text": pa.array(texts, pa.string())})
+        for (_, path, keys, _), b, a, r in zip(pages, before, after, rows, strict=True):
+            left = unshared(keys, path, b and b[1:3], a and a[1:3], r["prose"])
+            texts.append("\n".join(line for k in left if (line := r["lines"][k]) is not None))
+        return pa.table({"page_id": pa.array([r["page_id"] for r in rows], kind), "url": pa.array([r["url"] for r in rows], pa.string()), "text": pa.array(texts, pa.string())})
 
     return run
 
@@ -312,21 +316,19 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     total = base.count()
     bounds = _bounds(base.select("host", "path", "page_id"), max(1, min(RANGES, total // RANGE)), total)
     bucket = _bucket(bounds)("host", "path", "page_id") if bounds else F.lit(0)
-    cut = base.select("page_id", "url", "host", "path", bucket.alias("bucket"), lines_column(F.col("html")).alias("_l")).select("page_id", "url", "host", "path", "bucket", "_l.lines", "_l.prose")
-    cut = cut.withColumn("keys", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("sizes", F.transform("lines", F.length))
-    # Pages that are all prose lose nothing: of these, only what neighbours are compared with is shuffled, hashes.
-    whole = F.forall("prose", lambda x: x)
-    straight = cut.where(whole).select("page_id", "url", F.array_join("lines", "\n").alias("text"))
-    placed = cut.select("page_id", "url", "host", "path", "bucket", "keys", "sizes", whole.alias("whole"), F.when(~whole, F.col("lines")).alias("lines"), F.when(~whole, F.col("prose")).alias("prose"))
+    cut = base.select("page_id", "url", "host", "path", bucket.alias("bucket"), lines_column(F.col("html")).alias("_l")).select("page_id", "url", "host", "path", "bucket", "_l.lines", "_l.own", "_l.prose")
+    # Chrome lines travel as hashes only: whatever differencing leaves of them, structure drops.
+    shown = cut.withColumn("keys", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("lines", F.zip_with("lines", "own", lambda x, own: F.when(own, x)))
+    placed = materialize(shown.withColumn("sizes", F.transform("lines", lambda x: F.coalesce(F.length(x), F.lit(0)))).drop("own"), "lines")
     edges = {}
     if bounds:
-        ends = {r["bucket"]: pickle.loads(r["ends"]) for r in cut.select("bucket", "host", "path", "page_id", "keys", "sizes").groupBy("bucket").applyInArrow(_ends, _ENDS).collect()}
+        ends = {r["bucket"]: pickle.loads(r["ends"]) for r in placed.select("bucket", "host", "path", "page_id", "keys", "sizes").groupBy("bucket").applyInArrow(_ends, _ENDS).collect()}
         edges = dict(zip(sorted(ends), outside([ends[k] for k in sorted(ends)]), strict=True))
     shared = spark.sparkContext.broadcast(edges)
     result = T.StructType([T.StructField("page_id", base.schema["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
-    rest = placed.groupBy("bucket").applyInArrow(_difference(shared, to_arrow_type(result["page_id"].dataType)), result)
-    both = straight.unionByName(rest)
-    return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    told = placed.groupBy("bucket").applyInArrow(_difference(shared, to_arrow_type(result["page_id"].dataType)), result)
+    return told.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(ship(spark).read.parquet(f"{sf_dir}/pages.parquet"))

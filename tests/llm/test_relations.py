@@ -346,6 +346,32 @@ def test_copies_of_pages_without_an_article_keep_their_text(spark, monkeypatch):
         assert len(found) == len(rows) and {r["page_id"]: r["text"] for r in found} == want
 
 
+def test_differencing_is_brute_force(spark, monkeypatch):
+    """200 pages without a marked article: what goes is what the nearest url that isn't a copy has too, whatever the elements are called."""
+    rng = random.Random(21)
+    shared = {h: [f"Line {k} of host {h}" for k in range(12)] for h in "abc"}
+    rows, texts = [], {}
+    for i in range(200):
+        h = rng.choice("abc")
+        lines = [x for x in shared[h] if rng.random() < 0.7]
+        own = [f"Text {i} number {k} that no other page of this host has in it." for k in range(rng.randint(2, 5))]
+        at = rng.randint(0, len(lines))
+        texts[i] = (h, f"/{rng.choice(['x', 'y/z', 'yy'])}/{i:03d}", lines[:at] + own + lines[at:])
+        rows.append((i, f"http://{h}{texts[i][1]}", bare_page(*texts[i][2])))
+    want = {}
+    for i, (h, path, lines) in texts.items():
+        side = lambda ok, best: best(((p, j) for j, (g, p, _) in texts.items() if g == h and ok((p, j))), default=None)  # noqa: B023, E731
+        before, after = side(lambda x: x < (path, i), max), side(lambda x: x > (path, i), min)  # noqa: B023
+        common = lambda x: next((k for k, (a, b) in enumerate(zip(path, x[0], strict=False)) if a != b), min(len(path), len(x[0])))  # noqa: B023, E731
+        near = after if after and (not before or common(after) > common(before)) else before
+        gone = set(texts[near[1]][2]) if near else set()
+        want[i] = "\n".join(x for x in lines if x not in gone)
+    assert sum(x.count("\n") + 1 for x in want.values()) < 0.6 * sum(len(x[2]) for x in texts.values()), "differencing decides on most lines"
+    monkeypatch.setattr(html_text, "RANGE", 9)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_shared_lines_outside_paragraphs_of_articles_go(spark):
     """Differencing decides in marked articles too, but for their prose."""
     page = lambda own: f"<main><div>You are reading The Daily</div><h1>Report</h1><p>A passage that all quote.</p><p>{own}</p><div>{own} aside</div><div>Rate this page</div></main>"
