@@ -281,10 +281,12 @@ def _difference(shared, kind: pa.DataType):
         rows, pages = _in_order(table)
         first, last = shared.value.get(rows[0]["bucket"], (None, None))
         before, after = neighbours_before(pages, first), neighbours_before(pages[::-1], last)[::-1]
-        texts = []
-        for (_, path, keys, _), b, a, r in zip(pages, before, after, rows, strict=True):
+        texts, asked = [], [i for i, r in enumerate(rows) if r["lines"] is not None]
+        for i in asked:
+            (_, path, keys, _), b, a, r = pages[i], before[i], after[i], rows[i]
             left = unshared(keys, path, b and b[1:3], a and a[1:3], r["prose"])
             texts.append("\n".join(line for k in left if (line := r["lines"][k]) is not None))
+        rows = [rows[i] for i in asked]
         return pa.table({"page_id": pa.array([r["page_id"] for r in rows], kind), "url": pa.array([r["url"] for r in rows], pa.string()), "text": pa.array(texts, pa.string())})
 
     return run
@@ -319,15 +321,21 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     cut = base.select("page_id", "url", "host", "path", bucket.alias("bucket"), lines_column(F.col("html")).alias("_l")).select("page_id", "url", "host", "path", "bucket", "_l.lines", "_l.own", "_l.prose")
     # Chrome lines travel as hashes only: whatever differencing leaves of them, structure drops.
     shown = cut.withColumn("keys", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("lines", F.zip_with("lines", "own", lambda x, own: F.when(own, x)))
-    placed = materialize(shown.withColumn("sizes", F.transform("lines", lambda x: F.coalesce(F.length(x), F.lit(0)))).drop("own"), "lines")
+    sizes = F.transform("lines", lambda x: F.coalesce(F.length(x), F.lit(0)))
+    # Where all that structure takes for main text is prose of an article, nothing of it can go: such a page's strings stay where they are, its hashes meet its neighbours.
+    whole = F.forall(F.arrays_zip("own", "prose"), lambda x: ~x["own"] | x["prose"])
+    placed = materialize(shown.withColumn("sizes", sizes).withColumn("whole", whole).drop("own"), "lines")
+    certain = placed.where("whole").select("page_id", "url", F.array_join("lines", "\n").alias("text"))
     edges = {}
     if bounds:
         ends = {r["bucket"]: pickle.loads(r["ends"]) for r in placed.select("bucket", "host", "path", "page_id", "keys", "sizes").groupBy("bucket").applyInArrow(_ends, _ENDS).collect()}
         edges = dict(zip(sorted(ends), outside([ends[k] for k in sorted(ends)]), strict=True))
     shared = spark.sparkContext.broadcast(edges)
     result = T.StructType([T.StructField("page_id", base.schema["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
-    told = placed.groupBy("bucket").applyInArrow(_difference(shared, to_arrow_type(result["page_id"].dataType)), result)
-    return told.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    open_ = lambda c: F.when(~F.col("whole"), F.col(c)).alias(c)
+    asked = placed.select("page_id", open_("url"), "host", "path", "bucket", "keys", "sizes", open_("lines"), open_("prose"))
+    told = asked.groupBy("bucket").applyInArrow(_difference(shared, to_arrow_type(result["page_id"].dataType)), result)
+    return certain.unionByName(told).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
