@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns
 the columns of documents (the last one: token digests a row). run() writes every
-stage's result as Parquet into the shared folder and reads it back.
+stage's result as Parquet into the shared folder and reads it back; a stage's table goes when the next one is written.
 
 Defined results: an empty table stays empty through all stages; further columns are carried
 along; rows that repeat an id are copies, of which near-duplicate removal keeps one; rows without an id
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm import byte_bpe, jaccard_join, language_id, quality_rules, source_mix
-from kinloom.llm._store import materialize
+from kinloom.llm._store import discard, materialize
 from kinloom.runtime import ship
 
 _OWN = "_kinloom_verdict"
@@ -31,10 +31,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with whole texts."""
+    """Documents that the quality rules keep, without the lines that fail; n_chars, where there is one, tells the length of what is left."""
     ship(spark)
     judged = docs.withColumn(_OWN, quality_rules.quality(F.col("text")))
-    return judged.where(quality_rules.kept(F.col(_OWN))).select(*docs.columns)
+    cleaned = judged.where(quality_rules.kept(F.col(_OWN))).withColumn("text", quality_rules.clean_lines(F.col("text")))
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,12 +70,15 @@ STAGES = [
     ("byte_bpe", tokenize),
 ]
 
-#: The first and last stages are not expressible in SQL; tests/llm checks each stage against a plain version.
+#: The first and last stages are not expressible in SQL; tests/llm checks the stages between them, and the tokens' round trip, against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

@@ -8,7 +8,7 @@ chosen by a hash of their ids; one in CALIBRATE of them is set aside to fit the
 turns scores into calibrated probabilities.
 
 Memory: document frequencies and weights have 2**BITS rows whatever the corpus; the sample is bounded by
-PER_LANGUAGE times the number of languages (MAX_LANGUAGES, the most frequent ones).
+PER_LANGUAGE times the number of languages. Every language of a learnable document is learned.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0; a corpus without a
 learnable document gives ``und`` for all; repeated rows get equal results; an empty table an empty result.
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from kinloom.runtime import ship
 
-BITS, PER_LANGUAGE, MAX_LANGUAGES, CALIBRATE = 14, 600, 500, 5
+BITS, PER_LANGUAGE, CALIBRATE = 14, 600, 5
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.2, 0.02, 3
 UNKNOWN = "und"
 #: Below this probability the pipeline rejects a document.
@@ -142,7 +142,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """Fit on all rows of docs: statistics on every one, weights on the sample."""
     base = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("h"))
     base = base.where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros(1 << bits), np.zeros((1 << bits, 0), np.float32))
     df = np.zeros(1 << bits)

@@ -115,19 +115,21 @@ def kept(q: Column) -> Column:
     return ~base_failed(q) & (100 * q["bad_chars"] <= MAX_LOSS * q["word_chars"])
 
 
-def clean_lines(text: Column) -> Column:
+def cleaned(text: str | None) -> str | None:
     """The text without the lines that fail; null stays null."""
+    if text is None:
+        return None
+    return "\n".join(x for x in text.split("\n") if not (n := len(x.encode().split())) or not line_fails(x, n))
+
 
-    @F.arrow_udf(returnType=T.StringType())
-    def clean(texts: pa.Array) -> pa.Array:
-        def one(x):
-            if x is None:
-                return None
-            return "\n".join(y for y in x.split("\n") if not (n := len(y.encode().split())) or not line_fails(y, n))
+@F.arrow_udf(returnType=T.StringType())
+def _clean(texts: pa.Array) -> pa.Array:
+    return pa.array(map(cleaned, texts.to_pylist()), pa.string(), size=len(texts))
 
-        return pa.array([one(x) for x in texts.to_pylist()], pa.string())
 
-    return clean(text)
+def clean_lines(text: Column) -> Column:
+    """cleaned() as a column."""
+    return _clean(text)
 
 
 def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

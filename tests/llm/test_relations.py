@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from test_texts import duck, rows_of
 
-from kinloom.llm import _graph, chat_format, html_text, jaccard_join, source_mix, url_filter, vector_topk
+from kinloom.llm import _graph, chat_format, html_text, jaccard_join, quality_rules, source_mix, url_filter, vector_topk
 
 
 def union(pairs):
@@ -411,16 +411,34 @@ def test_pipeline(spark, tmp_path):
     rows += [(500 + i, r[1], *r[2:]) for i, r in enumerate(rows[:10])] + [(600, None, "en", None, 0, 7, "k", None, b"t"), rows[3]]
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    kept = []
+    stages = {}
     for name, stage in p.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns, name
-        docs = spark.createDataFrame(out.collect(), docs.schema)
-        kept.append(docs.count())
+        stages[name] = out.collect()
+        docs = spark.createDataFrame(stages[name], docs.schema)
+    language_kept = stages["language_id"]
+    # Each stage between the first and the last against a plain version.
+    given = {r["doc_id"]: r for r in language_kept}
+    fine = {}
+    for i, r in given.items():
+        w = (r["text"] or "").encode().split()
+        twice = {g for g, n in Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2)).items() if n > 1}
+        hit = {k + d for k in range(len(w) - 2) if tuple(w[k : k + 3]) in twice for d in range(3)}
+        bad = sum(len("".join(x.split())) for x in (r["text"] or "").split("\n") if x.split() and quality_rules.line_fails(x, len(x.split())))
+        if len(w) >= 50 and 100 * len(hit) <= 50 * len(w) and 100 * bad <= 50 * len("".join(r["text"].split())):
+            fine[i] = "\n".join(x for x in r["text"].split("\n") if not x.split() or not quality_rules.line_fails(x, len(x.split())))
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in stages["quality_rules"]} == {i: (t, len(t)) for i, t in fine.items()}
+    sets = {i: shingle_set(t) for i, t in fine.items()}
+    low = union([(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    assert sorted(r["doc_id"] for r in stages["jaccard_join"]) == sorted(i for i in fine if low.get(i, i) == i)
+    size = {r["doc_id"]: len(r["text"].split()) for r in stages["jaccard_join"]}
+    assert sum(size[r["doc_id"]] for r in stages["source_mix"]) <= 1.5 * sum(size.values())
+    assert set(Counter(r["doc_id"] for r in stages["source_mix"]).values()) <= {1, 2}
     ids = {r["doc_id"] for r in docs.collect()}
     assert not ids & {500 + i for i in range(10)} and 600 not in ids, "copies and texts without words are gone"
     final = p.run(spark, str(tmp_path)).collect()
     assert Counter(r["doc_id"] for r in final) == Counter(r["doc_id"] for r in docs.collect())
-    assert all(r["decoded_sha256"] == hashlib.sha256(dict((x[0], x[1]) for x in rows)[r["doc_id"]].encode()).hexdigest() for r in final)
+    assert all(r["decoded_sha256"] == hashlib.sha256(fine[r["doc_id"]].encode()).hexdigest() for r in final)
     frame(spark, []).write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert p.run(spark, f"{tmp_path}/empty").collect() == []

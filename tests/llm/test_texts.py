@@ -254,3 +254,14 @@ def test_model_beats_counts_on_held_out_documents(spark):
     """On the small table, the model's held-out score is better than the base's in all."""
     got = recurrent_lm.op5_recurrent_lm(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
     assert got["s"] > got["b"]
+
+
+def test_languages_of_held_out_documents(spark):
+    """On the small table: accuracy by held-out documents with a letter, and how far scores are from shares that are right."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    rows = language_id.op2_language_id(spark, "/root/testdata/sf0.01").where("held_out AND lang_pred <> 'und'").join(docs, "doc_id").where("lang is not null").collect()
+    right = np.array([r["lang_pred"] == r["lang"] for r in rows])
+    score = np.array([r["score"] for r in rows])
+    assert len(rows) > 150 and right.mean() >= 0.9
+    error = sum(abs(right[own].mean() - score[own].mean()) * own.mean() for k in range(10) if (own := (score >= k / 10) & (score < (k + 1) / 10 + (k == 9))).any())
+    assert error < 0.1
