@@ -21,15 +21,26 @@ T2_KEYWORDS = [*JAVA_KEYWORDS, "var", "record"]
 # Operators of two characters.
 TWO_CHAR = ("==", "!=", "<=", ">=", "&&", "||", "++", "--", "+=", "-=", "*=", "/=", "%=", "<<", ">>", "&=", "|=", "^=", "->")
 
-# Parts without look-around, so that the same text runs in Java's and RE2's engines.
-STRING = r'"(?:\\[\s\S]|[^"\\])*\\?"?'
-CHARACTER = r"'(?:\\[\s\S]|[^'\\])*\\?'?"
-LINE_COMMENT, BLOCK_COMMENT = r"//[^\n]*", r"/\*(?:[^*]|\*+[^*/])*(?:\*+/|\**$)"
 NUMBER = r"0[xX][0-9a-fA-F]*|(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 _OPERATOR = "|".join("".join(f"\\{c}" for c in op) for op in TWO_CHAR)
-TOKEN = rf"({LINE_COMMENT}|{BLOCK_COMMENT}|{STRING}|{CHARACTER}|[\p{{L}}_][\p{{L}}\p{{Nd}}_]*|{NUMBER}|{_OPERATOR}|\S)"
-TOKEN_T2 = rf"({LINE_COMMENT}|{BLOCK_COMMENT}|{STRING}|{CHARACTER}|[\p{{L}}_$][\p{{L}}\p{{Nd}}_$]*|{NUMBER}|>>>=|>>>|<<=|>>=|{_OPERATOR}|::|\S)"
-STRIP = rf"({STRING}|{CHARACTER})|{LINE_COMMENT}|{BLOCK_COMMENT}|\s+"
+
+
+def patterns(many: str) -> tuple[str, str, str]:
+    """(tokens, tokens of the normalised view, what stripping looks at), without look-around. many: how groups repeat, ``*`` or possessive ``*+``.
+
+    What follows a group can't begin with what the group takes, so both mean the same. Java's engine calls itself for each round of ``*``
+    over a group and overflows its stack on long literals and comments; the possessive form is a loop. RE2 knows only the first.
+    """
+    text = rf'"(?:\\[\s\S]|[^"\\]){many}\\?"?'
+    character = rf"'(?:\\[\s\S]|[^'\\]){many}\\?'?"
+    line, block = r"//[^\n]*", rf"/\*(?:[^*]|\*+[^*/]){many}(?:\*+/|\**$)"
+    token = rf"({line}|{block}|{text}|{character}|[\p{{L}}_][\p{{L}}\p{{Nd}}_]*|{NUMBER}|{_OPERATOR}|\S)"
+    token2 = rf"({line}|{block}|{text}|{character}|[\p{{L}}_$][\p{{L}}\p{{Nd}}_$]*|{NUMBER}|>>>=|>>>|<<=|>>=|{_OPERATOR}|::|\S)"
+    return token, token2, rf"({text}|{character})|{line}|{block}|\s+"
+
+
+TOKEN, TOKEN_T2, STRIP = patterns("*")  # for RE2
+LONG_TOKEN, LONG_TOKEN_T2, LONG_STRIP = patterns("*+")
 
 
 def language_of(path: Column) -> Column:
@@ -37,7 +48,7 @@ def language_of(path: Column) -> Column:
     return F.when(path.endswith(".java"), "JAVA").otherwise("C")
 
 
-def raw_tokens(text: Column, pattern: str = TOKEN_T2) -> Column:
+def raw_tokens(text: Column, pattern: str = LONG_TOKEN_T2) -> Column:
     """Tokens as written, without blanks and comments."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1))
     return F.filter(found, lambda t: ~t.startswith("//") & ~t.startswith("/*"))
@@ -58,7 +69,7 @@ def _normalise(tokens: Column, keywords: list[str], character: str, start: str)
 
 def baseline_tokens(text: Column, keywords: list[str] = JAVA_KEYWORDS) -> Column:
     """The always normalising lexer: literals become STR, CHAR and NUM, names ID."""
-    return _normalise(raw_tokens(text, TOKEN), keywords, "CHAR", r"^[\p{L}_]")
+    return _normalise(raw_tokens(text, LONG_TOKEN), keywords, "CHAR", r"^[\p{L}_]")
 
 
 def t2_tokens(text: Column) -> Column:
@@ -68,7 +79,7 @@ def t2_tokens(text: Column) -> Column:
 
 def exact_key(text: Column) -> Column:
     """The text without comments and white space; literals stay as they are."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), STRIP, "$1")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), LONG_STRIP, "$1")
 
 
 def descriptor_types(descriptor: Column) -> Column:
@@ -85,10 +96,11 @@ def descriptor_types(descriptor: Column) -> Column:
 
 
 def erased_signature(signature: Column) -> Column:
-    """name(type,type) in lower case: no generics (three levels deep), qualifiers or parameter names; varargs are arrays."""
-    s = signature
-    for _ in range(3):
-        s = F.regexp_replace(s, r"<[^<>]*>", "")
+    """name(type,type) in lower case: no generics, however deep, qualifiers or parameter names; varargs are arrays. An open ``<`` reaches to the end."""
+    deeper = lambda x, c: F.when(c == "<", x["depth"] + 1).when((c == ">") & (x["depth"] > 0), x["depth"] - 1).otherwise(x["depth"])
+    shown = lambda x, c: F.when((x["depth"] > 0) | (c == "<"), F.lit("")).otherwise(c)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    s = F.aggregate(F.split(signature, ""), start, lambda x, c: F.struct(deeper(x, c).alias("depth"), F.concat(x["out"], shown(x, c)).alias("out")), lambda x: x["out"])
     s = F.regexp_replace(F.regexp_replace(s, r"\.\.\.", "[]"), r"\b(?:final)\s+|@\w+\s*", "")
     s = F.regexp_replace(s, r"(?:\w+\.)+(\w+)", "$1")
     s = F.regexp_replace(s, r"\s+(\w+)\s*([,)])", "$2")

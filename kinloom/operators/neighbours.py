@@ -37,12 +37,16 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, items: DataFrame, k: int, item: str = "item_id", vector: str = "v", within: str | None = None) -> DataFrame:
     """(query_id, place, item_id, distance): exact k nearest, the query itself left out, ties by id.
 
-    ``within`` names a column that both must share (an equi-join). Without it the query set, which must be a stated
-    small one, goes to every partition of the items; ranking keeps k rows a query before the shuffle.
+    ``within`` names a column that both must share (an equi-join). Without it items are dealt over salts, as many as shuffle
+    partitions, and move once; queries, the side to keep small, are copied to each salt. Ranking keeps k rows a query and task before the last shuffle.
     """
-    q = queries.select(F.col(item).alias("query_id"), F.col(vector).alias("_q"), *([within] if within else []))
-    c = items.select(F.col(item).alias("item_id"), F.col(vector).alias("_c"), *([within] if within else []))
-    met = c.join(q, within) if within else c.join(F.broadcast(q), F.col("item_id") != F.col("query_id"))
+    if within is None:
+        salts, within = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_salt"
+        items = items.withColumn(within, F.pmod(F.xxhash64(F.col(item)), F.lit(salts)).cast("int"))
+        queries = queries.withColumn(within, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    q = queries.select(F.col(item).alias("query_id"), F.col(vector).alias("_q"), within)
+    c = items.select(F.col(item).alias("item_id"), F.col(vector).alias("_c"), within)
+    met = c.join(q, within)
     far = F.round(F.sqrt(squared_distance(F.col("_q"), F.col("_c"))), 9)
     scored = met.where("item_id <> query_id").select("query_id", "item_id", far.alias("distance"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "item_id"))

@@ -34,34 +34,39 @@ SQL = {
         (50 + l_partkey % 51) / 100.0e0 AS score FROM lineitem""",
     "decisions": """
       SELECT pair_id, place, type, left_kind, right_kind, left_begin, left_begin + left_len AS left_end, right_begin, right_begin + right_len AS right_end FROM (
-        SELECT l_orderkey % 700 AS pair_id, CAST(row_number() OVER (PARTITION BY l_orderkey % 700 ORDER BY l_partkey, l_suppkey, l_orderkey, l_linenumber) AS INT) AS place,
+        SELECT CAST(floor(l_orderkey / 4) AS BIGINT) AS pair_id, CAST(row_number() OVER (PARTITION BY floor(l_orderkey / 4) ORDER BY l_partkey, l_suppkey, l_orderkey, l_linenumber) AS INT) AS place,
           CASE l_partkey % 8 WHEN 0 THEN 'T1' WHEN 1 THEN 'T2' WHEN 2 THEN 'T3' WHEN 3 THEN 'T4_CONFIRMED' WHEN 4 THEN 'T4_DYNAMIC_EVIDENCE' WHEN 5 THEN 'POSSIBLE_T4_CANDIDATE' ELSE 'NON_CLONE' END AS type,
           CASE l_suppkey % 4 WHEN 0 THEN 'METHOD' WHEN 1 THEN 'FILE' WHEN 2 THEN 'STATEMENT_WINDOW_REGION' ELSE 'CONTROL_REGION' END AS left_kind,
           CASE l_suppkey % 3 WHEN 0 THEN 'METHOD' WHEN 1 THEN 'FILE' ELSE 'STATEMENT_WINDOW_REGION' END AS right_kind,
           CAST(1 + l_partkey % 60 AS INT) AS left_begin, CAST(l_suppkey % 14 AS INT) AS left_len, CAST(1 + l_suppkey % 50 AS INT) AS right_begin, CAST(l_partkey % 11 AS INT) AS right_len
-        FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 7 < 3)""",
+        FROM lineitem)""",
     "file_lines": """
       SELECT pair_id, side, CAST(CASE side WHEN 'LEFT' THEN 20 + pair_id % 50 ELSE 15 + pair_id % 40 END AS INT) AS lines
-      FROM (SELECT DISTINCT l_orderkey % 700 AS pair_id FROM lineitem), (SELECT 'LEFT' AS side UNION ALL SELECT 'RIGHT' AS side)""",
+      FROM (SELECT DISTINCT CAST(floor(l_orderkey / 4) AS BIGINT) AS pair_id FROM lineitem), (SELECT 'LEFT' AS side UNION ALL SELECT 'RIGHT' AS side)""",
     "features": """
-      SELECT user_id AS item_id, event_type AS feature, sum(abs(value)) AS value FROM events WHERE user_id < 400 GROUP BY user_id, event_type""",
+      SELECT user_id AS item_id, event_type AS feature, sum(abs(value)) AS value FROM events GROUP BY user_id, event_type""",
     "calls": "SELECT user_id, event_type AS target FROM events",
     "edges": """
       SELECT graph_id, src, dst, kind FROM (
         SELECT user_id AS graph_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst, CASE WHEN event_id % 3 = 0 THEN 'T' ELSE 'F' END AS kind
-        FROM events WHERE user_id < 300) WHERE dst IS NOT NULL""",
-    "graph_nodes": "SELECT DISTINCT user_id AS graph_id, event_type AS node, event_type AS label FROM events WHERE user_id < 300",
+        FROM events) WHERE dst IS NOT NULL""",
+    "graph_nodes": "SELECT DISTINCT user_id AS graph_id, event_type AS node, event_type AS label FROM events",
+    # Chains whose labels meet across graphs.
+    "chains": "SELECT l_orderkey AS graph_id, 'n' || CAST(l_linenumber AS STRING) AS src, 'n' || CAST(l_linenumber + 1 AS STRING) AS dst, l_returnflag AS kind FROM lineitem",
+    "chain_nodes": """
+      SELECT DISTINCT graph_id, node, CASE WHEN node = 'n1' THEN 'start' ELSE 'step' END AS label FROM (
+        SELECT l_orderkey AS graph_id, 'n' || CAST(l_linenumber AS STRING) AS node FROM lineitem UNION ALL SELECT l_orderkey, 'n' || CAST(l_linenumber + 1 AS STRING) FROM lineitem)""",
     "blocks": """
-      SELECT o_orderkey AS block_id, o_custkey % 40 AS pair_id, o_orderkey % 2 AS side, CAST(o_orderkey % 7 AS DOUBLE) AS arithmetic, CAST(o_custkey % 3 AS DOUBLE) AS calls, CAST(o_orderkey % 13 AS DOUBLE) AS instructions,
-        CAST(o_custkey % 5 AS DOUBLE) AS logic, CAST(o_orderkey % 4 AS DOUBLE) AS transfers, CAST(o_custkey % 2 AS DOUBLE) AS strings, CAST(o_orderkey % 3 AS DOUBLE) AS numbers FROM orders WHERE o_orderkey < 3000""",
+      SELECT o_orderkey AS block_id, o_custkey AS pair_id, o_orderkey % 2 AS side, CAST(o_orderkey % 7 AS DOUBLE) AS arithmetic, CAST(o_custkey % 3 AS DOUBLE) AS calls, CAST(o_orderkey % 13 AS DOUBLE) AS instructions,
+        CAST(o_custkey % 5 AS DOUBLE) AS logic, CAST(o_orderkey % 4 AS DOUBLE) AS transfers, CAST(o_custkey % 2 AS DOUBLE) AS strings, CAST(o_orderkey % 3 AS DOUBLE) AS numbers FROM orders""",
     "scored": "SELECT doc_id, CAST((doc_id * 37 + length(text)) % 101 AS DOUBLE) AS score, quality = 1 AS positive FROM documents JOIN labels USING (doc_id)",
     "labelled": """
       SELECT o_orderkey AS pair_id, CASE o_custkey % 5 WHEN 0 THEN 'T1' WHEN 1 THEN 'T2' WHEN 2 THEN 'T3' WHEN 3 THEN 'T4_WEAK' ELSE 'NON_CLONE' END AS expected_type,
         CASE o_custkey % 5 WHEN 2 THEN CASE o_orderkey % 3 WHEN 0 THEN 'VST3' WHEN 1 THEN 'ST3' ELSE 'MT3' END END AS band FROM orders""",
     "results": """
       SELECT o_orderkey AS pair_id, CASE WHEN o_orderkey % 23 = 0 THEN 'ERROR' ELSE 'OK' END AS status, CASE o_orderkey % 4 WHEN 0 THEN 'T1' WHEN 1 THEN 'T2' WHEN 2 THEN 'T3' ELSE 'NON_CLONE' END AS found_type,
-        ((o_orderkey * 29) % 101) / 100.0e0 AS coverage, (o_orderkey * 7) % 1000 AS wall_ms, o_orderpriority AS project, CAST((o_orderkey * 7) % 1000 AS DOUBLE) AS runtime_ms FROM orders WHERE o_orderkey % 10 <> 4""",
-    "channel_values": "SELECT event_type AS channel, user_id % 6 AS variant, CAST(event_id % 97 AS STRING) AS value FROM events WHERE event_id % 3 = 0",
+        ((o_orderkey * 29) % 101) / 100.0e0 AS coverage, (o_orderkey * 7) % 1000 AS wall_ms, o_orderpriority AS project, CAST((o_orderkey * 7) % 1000 AS DOUBLE) AS runtime_ms FROM orders""",
+    "channel_values": "SELECT event_type AS channel, user_id % 6 AS variant, CAST(event_id % 97 AS STRING) AS value FROM events",
     "clones": """
       SELECT l_partkey AS one_id, l_suppkey AS two_id, l_quantity AS min_size, 0.4e0 + ((l_partkey * 7) % 61) / 100.0e0 AS sim_line, 0.4e0 + ((l_suppkey * 11) % 61) / 100.0e0 AS sim_token FROM lineitem""",
     "functions": "SELECT p_partkey AS id, p_name AS name, p_size AS lines FROM part",

@@ -89,7 +89,7 @@ def raw_hash_view(spark, d):
 def block_candidates(spark, d):
     """Candidate blocks by the hybrid view: left methods are even, right ones odd, and both share the pair."""
     both = programs.block_view(programs.raw_numeric(instructions(spark, d), flow_edges(spark, d)), raw_hashed(spark, d), "HYBRID_NUMERIC_HASH")
-    s = neighbours.standardise(both.where(F.split("item_id", "/")[0].cast("int") < 40))
+    s = neighbours.standardise(both)
     names = sorted(r["feature"] for r in s.select("feature").distinct().collect())
     v = neighbours.vectors(s, names).withColumn("_m", F.split("item_id", "/")[0].cast("int")).withColumn("pair_id", F.floor(F.col("_m") / 2))
     found = neighbours.nearest(v.where("_m % 2 = 0"), v.where("_m % 2 = 1"), 3, within="pair_id")

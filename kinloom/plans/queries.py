@@ -100,12 +100,12 @@ def jvm_descriptors(spark, d):
 
 @query("SELECT * FROM (VALUES (1, 'put(map,string,int[])'), (2, 'run()'), (3, 'add(list,object)')) v(id, signature)")
 def signature_erasure(spark, d):
-    rows = spark.createDataFrame([(1, "put(java.util.Map<String, List<Map<A, B>>> m, final String key, int... xs)"), (2, "run()"), (3, "add(List<? extends T> a, @Nullable Object b)")], "id int, s string")
+    rows = spark.createDataFrame([(1, "put(java.util.Map<String, List<Map<A, Map<B, Set<Map<C, D>>>>>> m, final String key, int... xs)"), (2, "run()"), (3, "add(List<? extends T> a, @Nullable Object b)")], "id int, s string")
     return rows.select("id", lexical.erased_signature(F.col("s")).alias("signature"))
 
 
-_RESOLVE_FIX = """calls AS (SELECT o_orderkey AS call_id, 'm' || CAST(o_orderkey % 9 AS STRING) AS name, o_orderkey % 4 AS arity, 's' || CAST(o_custkey % 30 AS STRING) AS sig FROM orders),
-  decls AS (SELECT DISTINCT 'm' || CAST(c_custkey % 9 AS STRING) AS name, c_custkey % 4 AS arity, 's' || CAST(c_custkey % 30 AS STRING) AS sig, CAST(c_custkey AS STRING) AS method FROM customer WHERE c_custkey <= 40)"""
+_RESOLVE_FIX = """calls AS (SELECT o_orderkey AS call_id, 'm' || CAST(floor(o_custkey / (1 + o_orderkey % 3)) AS INT) AS name, o_orderkey % 4 AS arity, 's' || CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_orderkey END % 30 AS STRING) AS sig FROM orders),
+  decls AS (SELECT DISTINCT 'm' || CAST(floor(c_custkey / (1 + c_custkey % 3)) AS INT) AS name, c_custkey % 4 AS arity, 's' || CAST(c_custkey % 30 AS STRING) AS sig, CAST(c_custkey AS STRING) AS method FROM customer)"""
 
 
 @query(f"""WITH {_RESOLVE_FIX},
@@ -113,8 +113,8 @@ _RESOLVE_FIX = """calls AS (SELECT o_orderkey AS call_id, 'm' || CAST(o_orderkey
   by_name AS (SELECT name, min(method) AS m FROM decls GROUP BY ALL HAVING count(*) = 1)
   SELECT call_id, coalesce(e.m, a.m, n.m) AS method FROM calls c LEFT JOIN exact e ON c.name = e.name AND c.sig = e.sig LEFT JOIN by_arity a ON c.name = a.name AND c.arity = a.arity LEFT JOIN by_name n ON c.name = n.name""")
 def method_resolution(spark, d):
-    calls = load(spark, d, "orders").selectExpr("o_orderkey AS call_id", "'m' || CAST(o_orderkey % 9 AS STRING) AS name", "o_orderkey % 4 AS arity", "'s' || CAST(o_custkey % 30 AS STRING) AS sig")
-    decls = load(spark, d, "customer").where("c_custkey <= 40").selectExpr("'m' || CAST(c_custkey % 9 AS STRING) AS name", "c_custkey % 4 AS arity", "'s' || CAST(c_custkey % 30 AS STRING) AS sig", "CAST(c_custkey AS STRING) AS method").distinct()
+    calls = load(spark, d, "orders").selectExpr("o_orderkey AS call_id", "'m' || CAST(floor(o_custkey / (1 + o_orderkey % 3)) AS INT) AS name", "o_orderkey % 4 AS arity", "'s' || CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_orderkey END % 30 AS STRING) AS sig")
+    decls = load(spark, d, "customer").selectExpr("'m' || CAST(floor(c_custkey / (1 + c_custkey % 3)) AS INT) AS name", "c_custkey % 4 AS arity", "'s' || CAST(c_custkey % 30 AS STRING) AS sig", "CAST(c_custkey AS STRING) AS method").distinct()
     for i, keys in enumerate((["name", "sig"], ["name", "arity"], ["name"])):
         one = decls.groupBy(*keys).agg(F.min("method").alias(f"m{i}"), F.count("*").alias("n")).where("n = 1").drop("n")
         calls = calls.join(one, keys, "left")
@@ -341,7 +341,7 @@ def stmt_windows(spark, d):
     return regions.statement_windows(stmts).select("file_id", "size", "start", F.array_join("stmts", " ").alias("stmts"))
 
 
-@query("WITH r AS (SELECT doc_id, p, md5(line) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents) WHERE length(line) >= 40), f AS (SELECT k FROM r GROUP BY k HAVING count(*) BETWEEN 2 AND 1000)"
+@query("WITH r AS (SELECT doc_id, p, md5(line) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents) WHERE length(line) >= 40), f AS (SELECT k FROM r GROUP BY k HAVING count(*) >= 2)"
        " SELECT DISTINCT a.doc_id AS left_file, b.doc_id AS right_file, a.doc_id || ':' || a.p AS left_region, b.doc_id || ':' || b.p AS right_region FROM r a JOIN r b ON a.k = b.k AND a.doc_id < b.doc_id JOIN f ON a.k = f.k")
 def region_candidates(spark, d):
     lines = docs(spark, d).select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("p", "line")).where(F.length("line") >= 40)
@@ -427,7 +427,7 @@ def region_types(spark, d):
 
 
 def _line_pairs(spark, d):
-    x = docs(spark, d).select("doc_id", "source", F.slice(F.split("text", "\n"), 1, 12).alias("s"))
+    x = docs(spark, d).select("doc_id", "source", F.split("text", "\n").alias("s"))
     order = Window.partitionBy("source").orderBy("doc_id")
     return x.select("doc_id", F.col("s").alias("a"), F.lead("s").over(order).alias("b")).where("b is not null")
 
@@ -445,13 +445,16 @@ def edit_script(spark, d):
     return e.groupBy("doc_id", F.col("e.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey AS id, CAST(len(list_distinct(list_filter(list_zip(string_split(c_mktsegment, 'E')[1:2], string_split(c_name, '0')[1:2]), lambda z: z[1] IS NOT NULL AND z[2] IS NOT NULL AND z[1] <> z[2]))) AS BIGINT) AS renamed FROM customer")
+@query("""WITH c AS (SELECT c_custkey, string_split(c_mktsegment, 'E') AS l, string_split(c_name, '0') AS r FROM customer),
+  z AS (SELECT c_custkey AS id, l, r, unnest(range(1, least(len(l), len(r)) + 1)) AS p FROM c), q AS (SELECT id, p, l[p] AS a, r[p] AS b FROM z),
+  f AS (SELECT id, a || '=' || arg_min(b, p) AS e FROM q WHERE a <> b GROUP BY id, a), g AS (SELECT id, string_agg(e, ',' ORDER BY e) AS renames FROM f GROUP BY id)
+  SELECT q.id, coalesce(any_value(renames), '') AS renames, count(DISTINCT a || '=' || b) > count(DISTINCT a) AS conflict FROM q LEFT JOIN g USING (id) GROUP BY q.id""")
 def rename_map(spark, d):
-    c = load(spark, d, "customer").select("c_custkey", F.slice(F.split("c_mktsegment", "E"), 1, 2).alias("l"), F.slice(F.split("c_name", "0"), 1, 2).alias("r"))
+    c = load(spark, d, "customer").select("c_custkey", F.split("c_mktsegment", "E").alias("l"), F.split("c_name", "0").alias("r"))
     ids = lambda x: F.transform(x, lambda _: F.lit("ID"))
-    m = c.select("c_custkey", "l", "r", sequence.rename_map(F.col("l"), F.col("r"), ids("l"), ids("r")).alias("m"))
-    pairs_ = F.filter(F.arrays_zip("l", "r"), lambda z: z["l"].isNotNull() & z["r"].isNotNull() & (z["l"] != z["r"]))
-    return m.select(F.col("c_custkey").alias("id"), F.size(F.array_distinct(pairs_)).cast("long").alias("renamed"))
+    m = c.select(F.col("c_custkey").alias("id"), sequence.rename_map(F.col("l"), F.col("r"), ids("l"), ids("r")).alias("m"))
+    told = F.array_sort(F.transform(F.map_entries("m.renames"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return m.select("id", F.array_join(told, ",").alias("renames"), F.col("m.conflict").alias("conflict"))
 
 
 # --- neighbours and graphs ---------------------------------------------------------------------------------------
@@ -472,18 +475,18 @@ def item_vectors(spark, d):
     return neighbours.vectors(s, names)
 
 
-@query(_STD + """, p AS (SELECT a.item_id AS query_id, b.item_id, round(sqrt(sum((a.z - b.z) ** 2)), 9) AS distance FROM z a JOIN z b ON a.feature = b.feature AND a.item_id <> b.item_id WHERE a.item_id < 20 GROUP BY ALL),
+@query(_STD + """, p AS (SELECT a.item_id AS query_id, b.item_id, round(sqrt(sum((a.z - b.z) ** 2)), 9) AS distance FROM z a JOIN z b ON a.feature = b.feature AND a.item_id <> b.item_id GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS place FROM p) SELECT query_id, item_id, CAST(place AS INT) AS place, round(distance, 6) AS distance FROM r WHERE place <= 5""")
 def knn_exact(spark, d):
     v = item_vectors(spark, d)
-    return rounded(neighbours.nearest(v.where("item_id < 20"), v, 5).select("query_id", "item_id", "place", "distance"))
+    return rounded(neighbours.nearest(v, v, 5).select("query_id", "item_id", "place", "distance"))
 
 
-@query(_STD + """, p AS (SELECT a.item_id AS query_id, b.item_id, round(sqrt(sum((a.z - b.z) ** 2)), 9) AS distance FROM z a JOIN z b ON a.feature = b.feature AND a.item_id <> b.item_id WHERE a.item_id < 20 GROUP BY ALL),
+@query(_STD + """, p AS (SELECT a.item_id AS query_id, b.item_id, round(sqrt(sum((a.z - b.z) ** 2)), 9) AS distance FROM z a JOIN z b ON a.feature = b.feature AND a.item_id <> b.item_id GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS place FROM p) SELECT query_id % 4 AS left_method, item_id % 7 AS right_method, count(*) AS blocks, round(0.65 / (1 + avg(distance)) + 0.35 / (1 + min(distance)), 6) AS score FROM r WHERE place <= 4 GROUP BY ALL""")
 def knn_method_score(spark, d):
     v = item_vectors(spark, d)
-    found = neighbours.nearest(v.where("item_id < 20"), v, 4).select((F.col("query_id") % 4).alias("left_method"), (F.col("item_id") % 7).alias("right_method"), "distance")
+    found = neighbours.nearest(v, v, 4).select((F.col("query_id") % 4).alias("left_method"), (F.col("item_id") % 7).alias("right_method"), "distance")
     return rounded(neighbours.closeness(found))
 
 
@@ -522,7 +525,7 @@ def numeric_distance(spark, d):
 def static_match(spark, d):
     ship(spark)
     at = lambda s: {f: F.col(f"{s}_{f}") for f in neighbours.BLOCK_WEIGHTS}
-    far = block_pairs(spark, d).where("l_block_id < 600 and r_block_id < 600").select("pair_id", F.col("l_block_id").cast("string").alias("left_block"), F.col("r_block_id").cast("string").alias("right_block"), neighbours.weighted_l1(at("l"), at("r"), neighbours.BLOCK_WEIGHTS).alias("distance"))
+    far = block_pairs(spark, d).select("pair_id", F.col("l_block_id").cast("string").alias("left_block"), F.col("r_block_id").cast("string").alias("right_block"), neighbours.weighted_l1(at("l"), at("r"), neighbours.BLOCK_WEIGHTS).alias("distance"))
     return rounded(graphs.match_blocks(far))
 
 
@@ -550,11 +553,11 @@ def wl_labels(spark, d):
     return graphs.wl_labels(load(spark, d, "graph_nodes"), load(spark, d, "edges")).select("graph_id", "node", "label3")
 
 
-@query(with_("edges", "graph_nodes") + f""", {_wl(2)}, x AS (SELECT graph_id // 2 AS pair_id, graph_id % 2 AS s, node, l AS wl2, (SELECT l FROM w1 WHERE w1.graph_id = w2.graph_id AND w1.node = w2.node) AS wl1 FROM w2),
+@query(with_("chains", "chain_nodes") + f""", edges AS (SELECT * FROM chains), graph_nodes AS (SELECT * FROM chain_nodes), {_wl(2)}, x AS (SELECT graph_id // 2 AS pair_id, graph_id % 2 AS s, node, l AS wl2, (SELECT l FROM w1 WHERE w1.graph_id = w2.graph_id AND w1.node = w2.node) AS wl1 FROM w2),
   h AS (SELECT a.pair_id, a.node AS left_node, b.node AS right_node, 1.0 AS st, 'WL2' AS e FROM x a JOIN x b ON a.pair_id = b.pair_id AND a.wl2 = b.wl2 AND a.s = 0 AND b.s = 1 UNION ALL SELECT a.pair_id, a.node, b.node, 0.8, 'WL1' FROM x a JOIN x b ON a.pair_id = b.pair_id AND a.wl1 = b.wl1 AND a.s = 0 AND b.s = 1)
   SELECT CAST(pair_id AS BIGINT) AS pair_id, left_node, right_node, max(st)::DOUBLE AS strength, array_to_string(list_sort(list(DISTINCT e)), ',') AS evidence FROM h GROUP BY ALL""")
 def seed_buckets(spark, d):
-    w = graphs.wl_labels(load(spark, d, "graph_nodes"), load(spark, d, "edges"), 2)
+    w = graphs.wl_labels(load(spark, d, "chain_nodes"), load(spark, d, "chains"), 2)
     side = lambda s: w.where(F.col("graph_id") % 2 == s).select(F.floor(F.col("graph_id") / 2).alias("pair_id"), "node", "label1", "label2")
     s = graphs.seeds(side(0), side(1), [("label2", 1.0, "WL2"), ("label1", 0.8, "WL1")])
     return s.select("pair_id", "left_node", "right_node", "strength", F.array_join("evidence", ",").alias("evidence"))
@@ -732,7 +735,7 @@ def mcs(spark, d):
     ship(spark)
     import pyarrow as pa
 
-    e = load(spark, d, "edges").where("graph_id < 40").select(F.floor(F.col("graph_id") / 2).alias("pair_id"), (F.col("graph_id") % 2).alias("s"), "src", "dst")
+    e = load(spark, d, "edges").select(F.floor(F.col("graph_id") / 2).alias("pair_id"), (F.col("graph_id") % 2).alias("s"), "src", "dst")
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -750,7 +753,7 @@ def region_grow(spark, d):
     ship(spark)
     import pyarrow as pa
 
-    e = load(spark, d, "edges").where("graph_id < 40").select(F.floor(F.col("graph_id") / 2).alias("pair_id"), (F.col("graph_id") % 2).alias("s"), "src", "dst")
+    e = load(spark, d, "edges").select(F.floor(F.col("graph_id") / 2).alias("pair_id"), (F.col("graph_id") % 2).alias("s"), "src", "dst")
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()

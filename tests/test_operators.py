@@ -215,3 +215,50 @@ def test_equal_key_candidates_of_a_key_that_many_share(spark):
     found = regions.equal_key_candidates(df, "X", F.col("v"))
     assert found.count() == 1100 * 1099 // 2 + 1099 + 1
     assert {(r["left_region"], r["right_region"]) for r in regions.equal_key_candidates(df, "X", F.col("v"), most=1000).collect()} == {("1:3", "2:3")}
+
+
+@pytest.mark.parametrize("text", ["don't " + "x" * 1_000_000, '"' + "\\\\a" * 500_000, "'" + "\\" * 1_000_001, "/*" + " * a" * 300_000, "/*" + "*" * 1_000_000, '"' * 1_000_001])
+def test_lexers_take_a_megabyte_of_anything(spark, text):
+    from kinloom.functions import lexical
+
+    df = spark.createDataFrame([(text,)], "t string").repartition(1)
+    r = df.select(F.size(lexical.baseline_tokens(F.col("t"))).alias("a"), F.size(lexical.t2_tokens(F.col("t"))).alias("b"), F.length(lexical.exact_key(F.col("t"))).alias("c")).first()
+    if text.startswith("don"):
+        assert r["a"] == r["b"] == 2 and r["c"] == len(text)
+    elif text.startswith("/*"):
+        assert r["a"] == r["b"] == r["c"] == 0
+    else:
+        assert r["c"] == len(text) and r["a"] == r["b"] >= 1
+
+
+def test_possessive_patterns_mean_the_same(spark):
+    import random
+
+    from kinloom.functions import lexical
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("\"'\\/*\nab1 .=") for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(1))
+    for a, b in ((lexical.TOKEN, lexical.LONG_TOKEN), (lexical.TOKEN_T2, lexical.LONG_TOKEN_T2)):
+        assert df.where(~found(a).eqNullSafe(found(b))).count() == 0
+    assert df.where(F.regexp_replace("t", lexical.STRIP, "$1") != F.regexp_replace("t", lexical.LONG_STRIP, "$1")).count() == 0
+
+
+def test_generics_of_any_depth_go(spark):
+    from kinloom.functions import lexical
+
+    rows = [("f(" + "A<" * n + "B" + ">" * n + " x, int y)",) for n in (0, 1, 3, 7, 40)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s string").select(lexical.erased_signature(F.col("s"))).collect()]
+    assert got == ["f(b,int)"] + ["f(a,int)"] * 4
+
+
+def test_equivalence_of_awkward_expressions(spark):
+    from kinloom.operators import semantic
+
+    deep = '["+", ' * 5000 + '["const", 1]' + ', ["const", 1]]' * 5000
+    half = lambda i: f'["/", ["param", {i}], ["const", 2]]'
+    df = spark.createDataFrame([(1, None, half(0)), (2, deep, deep), (3, half(4), half(0)), (4, half(4), half(4))], "i int, a string, b string")
+    got = {r["i"]: r["v"] for r in df.select("i", semantic.equivalence_column(F.col("a"), F.col("b")).alias("v")).collect()}
+    assert got[1] is None and tuple(got[2]) == ("UNKNOWN", "UNSUPPORTED")
+    assert got[3]["sampling"] == "DIFFERENT" and got[4]["proof"] in ("EQUIVALENT", "UNKNOWN") and got[4]["sampling"] in (None, "LIKELY")
