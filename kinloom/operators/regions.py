@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinloom.operators.sequence import edit_script, lcs_similarity
+from kinloom.operators.sequence import edit_script, lcs_similarity, lcs_similarity_column
 
 # Clone types from strongest to weakest, and kinds with their rank in selection.
 TYPES = ("T1", "T2", "T3", "T4_CONFIRMED", "T4_DYNAMIC_EVIDENCE", "POSSIBLE_T4_CANDIDATE")
@@ -46,6 +46,50 @@ def equal_key_candidates(regions: DataFrame, channel: str, value: Column, most:
     return pair.select(*cols, F.lit(channel).alias("channel"), F.lit(1.0).alias("score"))
 
 
+def source_scans(regions: DataFrame, least: float = T3_LEAST) -> DataFrame:
+    """(pair_id, left_region, right_region, channel, score) of region pairs that the four scans of the source propose.
+
+    regions: (pair_id, side LEFT or RIGHT, region_id, kind, t1, t2, stmts), arrays of source tokens, normalised tokens and normalised statements.
+    Whole files meet whole files only. Equal keys, shared tokens and shared statements are equi-joins within the file pair; what shares nothing can
+    reach no threshold, so no pair of regions is listed for being there. Tokens are counted before the second shuffle; statements are aligned only where
+    the lengths allow the score.
+
+    Defined results: null arrays are empty; two empty arrays of normalised tokens or of statements are alike (score 1.0), two empty ones of source tokens
+    are no candidate; repeated rows count once; further columns take no part; an empty table gives an empty result.
+    """
+    keys = ("pair_id", "region_id")
+    empty = F.array().cast("array<string>")
+    base = regions.select(*keys, "side", (F.col("kind") == "FILE").alias("whole"), *[F.coalesce(F.col(c), empty).alias(c) for c in ("t1", "t2", "stmts")]).dropDuplicates(["pair_id", "side", "region_id"])
+    both = ["pair_id", "whole"]
+
+    def met(rows: DataFrame, on: list[str], *carried: str) -> DataFrame:
+        a, b = (rows.where(F.col("side") == side.upper()).select(*on, F.col("region_id").alias(f"{side}_region"), *[F.col(c).alias(f"{side}_{c}") for c in carried]) for side in ("left", "right"))
+        return a.join(b, on)
+
+    def told(found: DataFrame, channel: str, score: Column) -> DataFrame:
+        return found.select("pair_id", "left_region", "right_region", F.lit(channel).alias("channel"), score.alias("score"))
+
+    one = F.lit(1.0)
+    same = [told(met(base.where(F.size(c) > 0), [*both, c]), channel, one) for c, channel in (("t1", "EXACT_TEXT_SCAN"), ("t2", "NORMALIZED_AST_SCAN"))]
+    none = [told(met(base.where(F.size(c) == 0), both), channel, one) for c, channel in (("t2", "NORMALIZED_TOKEN_OVERLAP_SCAN"), ("stmts", "STATEMENT_DIFF_SCAN"))]
+    tokens = base.select(*both, "side", "region_id", F.array_distinct("t2").alias("t")).select("*", F.size("t").alias("n")).select(*both, "side", "region_id", "n", F.explode("t").alias("token"))
+    counted = met(tokens, [*both, "token"], "n").where(F.least("left_n", "right_n") >= least * F.greatest("left_n", "right_n"))
+    counted = counted.groupBy("pair_id", "left_region", "right_region", "left_n", "right_n").agg(F.count("*").alias("c"))
+    overlap = F.col("c") / (F.col("left_n") + F.col("right_n") - F.col("c"))
+    lines = base.select(*both, "side", "region_id", F.size("stmts").alias("n"), F.explode(F.array_distinct("stmts")).alias("stmt"))
+    near = met(lines, [*both, "stmt"], "n").where(F.least("left_n", "right_n") >= least * F.greatest("left_n", "right_n"))
+    # Distinct shared statements bound the alignment from below only, so pairs are made distinct and aligned.
+    near = near.select("pair_id", "left_region", "right_region").distinct()
+    for side in ("left", "right"):
+        near = near.join(base.where(F.col("side") == side.upper()).select("pair_id", F.col("region_id").alias(f"{side}_region"), F.col("stmts").alias(f"{side}_stmts")), ["pair_id", f"{side}_region"])
+    aligned = near.withColumn("_s", lcs_similarity_column(F.col("left_stmts"), F.col("right_stmts")))
+    found = [*same, *none, told(counted.where(overlap >= least), "NORMALIZED_TOKEN_OVERLAP_SCAN", overlap), told(aligned.where(F.col("_s") >= least), "STATEMENT_DIFF_SCAN", F.col("_s"))]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def merge_candidates(sources: DataFrame, keys: tuple[str, ...] = ("pair_id", "left_region", "right_region")) -> DataFrame:
     """One row a candidate from rows a source: best score of each channel, channels sorted."""
     per = sources.groupBy(*keys, "channel").agg(F.max("score").alias("score"))

@@ -40,6 +40,9 @@ SQL = {
           CASE l_suppkey % 3 WHEN 0 THEN 'METHOD' WHEN 1 THEN 'FILE' ELSE 'STATEMENT_WINDOW_REGION' END AS right_kind,
           CAST(1 + l_partkey % 60 AS INT) AS left_begin, CAST(l_suppkey % 14 AS INT) AS left_len, CAST(1 + l_suppkey % 50 AS INT) AS right_begin, CAST(l_partkey % 11 AS INT) AS right_len
         FROM lineitem)""",
+    "region_tokens": """
+      SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS pair_id, CASE l_orderkey % 2 WHEN 0 THEN 'LEFT' ELSE 'RIGHT' END AS side, l_orderkey AS region_id, CASE WHEN l_orderkey % 8 < 2 THEN 'FILE' ELSE 'METHOD' END AS kind,
+        l_linenumber AS pos, 't' || CAST(l_suppkey % 4 AS STRING) AS t1, 'n' || CAST(l_partkey % 5 AS STRING) AS t2, 's' || CAST(l_partkey % 3 AS STRING) AS stmt FROM lineitem""",
     "file_lines": """
       SELECT pair_id, side, CAST(CASE side WHEN 'LEFT' THEN 20 + pair_id % 50 ELSE 15 + pair_id % 40 END AS INT) AS lines
       FROM (SELECT DISTINCT CAST(floor(l_orderkey / 4) AS BIGINT) AS pair_id FROM lineitem), (SELECT 'LEFT' AS side UNION ALL SELECT 'RIGHT' AS side)""",

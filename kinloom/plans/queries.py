@@ -349,6 +349,38 @@ def region_candidates(spark, d):
     return regions.equal_key_candidates(rows, "EXACT_TEXT_SCAN", F.col("k")).select("left_file", "right_file", "left_region", "right_region")
 
 
+def _region_arrays(spark, d):
+    rows = load(spark, d, "region_tokens").groupBy("pair_id", "side", "region_id", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", "t1", "t2", "stmt"))).alias("r"))
+    return rows.select("pair_id", "side", "region_id", "kind", F.col("r.t1").alias("t1"), F.col("r.t2").alias("t2"), F.col("r.stmt").alias("stmts"))
+
+
+@query(with_("region_tokens") + """, r AS (SELECT pair_id, side, region_id, kind = 'FILE' AS whole, list(t1 ORDER BY pos, t1, t2, stmt) AS t1, list(t2 ORDER BY pos, t1, t2, stmt) AS t2 FROM region_tokens GROUP BY ALL),
+  p AS (SELECT a.pair_id, a.region_id AS left_region, b.region_id AS right_region, a.t1 AS x1, b.t1 AS y1, a.t2 AS x2, b.t2 AS y2 FROM r a JOIN r b ON a.pair_id = b.pair_id AND a.whole = b.whole AND a.side = 'LEFT' AND b.side = 'RIGHT'),
+  j AS (SELECT *, len(list_intersect(x2, y2)) / len(list_distinct(list_concat(x2, y2))) AS s FROM p)
+  SELECT pair_id, left_region, right_region, 'EXACT_TEXT_SCAN' AS channel, 1.0::DOUBLE AS score FROM p WHERE x1 = y1 UNION ALL SELECT pair_id, left_region, right_region, 'NORMALIZED_AST_SCAN', 1.0 FROM p WHERE x2 = y2
+  UNION ALL SELECT pair_id, left_region, right_region, 'NORMALIZED_TOKEN_OVERLAP_SCAN', round(s, 6) FROM j WHERE s >= 0.5""")
+def token_scans(spark, d):
+    ship(spark)
+    return rounded(regions.source_scans(_region_arrays(spark, d)).where("channel <> 'STATEMENT_DIFF_SCAN'"))
+
+
+@query()
+def statement_scan(spark, d):
+    ship(spark)
+    return rounded(regions.source_scans(_region_arrays(spark, d)).where("channel = 'STATEMENT_DIFF_SCAN'"))
+
+
+@query()
+def scanned_candidates(spark, d):
+    """Regions to ranked candidates: the scans' channels merged, with ranks in their file pair."""
+    ship(spark)
+    merged = regions.merge_candidates(regions.source_scans(_region_arrays(spark, d)))
+    size = load(spark, d, "region_tokens").groupBy("region_id", "kind").agg(F.count("*").cast("int").alias("tokens"))
+    for side in ("left", "right"):
+        merged = merged.join(size.select(F.col("region_id").alias(f"{side}_region"), F.col("kind").alias(f"{side}_kind"), F.col("tokens").alias(f"{side}_tokens")), f"{side}_region")
+    return rounded(regions.rank_candidates(merged).select("pair_id", "left_region", "right_region", "n_channels", "rank_score", "place"))
+
+
 _KIND = "CASE CAST(substr({0}_region, 2) AS INT) % 4 WHEN 0 THEN 'METHOD' WHEN 1 THEN 'METHOD_BODY_REGION' WHEN 2 THEN 'CONTROL_REGION' ELSE 'STATEMENT_WINDOW_REGION' END"
 
 

@@ -262,3 +262,37 @@ def test_equivalence_of_awkward_expressions(spark):
     got = {r["i"]: r["v"] for r in df.select("i", semantic.equivalence_column(F.col("a"), F.col("b")).alias("v")).collect()}
     assert got[1] is None and tuple(got[2]) == ("UNKNOWN", "UNSUPPORTED")
     assert got[3]["sampling"] == "DIFFERENT" and got[4]["proof"] in ("EQUIVALENT", "UNKNOWN") and got[4]["sampling"] in (None, "LIKELY")
+
+
+def test_source_scans_are_all_pairs(spark):
+    """Equi-joins against every pair of regions looked at."""
+    rng = random.Random(5)
+    rows = []
+    for pair in range(12):
+        for side in ("LEFT", "RIGHT"):
+            for r in range(rng.randint(0, 7)):
+                take = lambda alphabet, most: [rng.choice(alphabet) for _ in range(rng.randint(0, most))]
+                rows.append((pair, side, f"{side[0]}{r}", rng.choice(["FILE", "METHOD", "METHOD"]), take("ab", 2), take("xyz", 2 if r % 2 else 4) if r else None, take("stuv", 5), "clash"))
+    rows += rows[:2]
+    df = spark.createDataFrame(rows, "pair_id long, side string, region_id string, kind string, t1 array<string>, t2 array<string>, stmts array<string>, channel string")
+    want = set()
+    for p, side, a, ka, t1, t2, st, _ in rows:
+        for q, other, b, kb, u1, u2, su, _ in rows:
+            if p != q or side != "LEFT" or other != "RIGHT" or (ka == "FILE") != (kb == "FILE"):
+                continue
+            t2_, u2_ = t2 or [], u2 or []
+            if t1 and t1 == u1:
+                want.add((p, a, b, "EXACT_TEXT_SCAN", 1.0))
+            if t2_ and t2_ == u2_:
+                want.add((p, a, b, "NORMALIZED_AST_SCAN", 1.0))
+            s = len(set(t2_) & set(u2_)) / len(set(t2_) | set(u2_)) if t2_ or u2_ else 1.0
+            if s >= 0.5:
+                want.add((p, a, b, "NORMALIZED_TOKEN_OVERLAP_SCAN", round(s, 6)))
+            s = plain_lcs(st, su) / max(len(st), len(su)) if st or su else 1.0
+            if s >= 0.5:
+                want.add((p, a, b, "STATEMENT_DIFF_SCAN", round(s, 6)))
+    got = [(r["pair_id"], r["left_region"], r["right_region"], r["channel"], round(r["score"], 6)) for r in regions.source_scans(df).collect()]
+    assert len(got) == len(set(got))
+    assert not set(got) ^ want, (sorted(set(got) - want)[:3], sorted(want - set(got))[:3])
+    assert {x[3] for x in want} == set(regions.SOURCE_CHANNELS)
+    assert regions.source_scans(df.limit(0)).collect() == []
