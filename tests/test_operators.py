@@ -273,7 +273,7 @@ def test_source_scans_are_all_pairs(spark):
             for r in range(rng.randint(0, 7)):
                 take = lambda alphabet, most: [rng.choice(alphabet) for _ in range(rng.randint(0, most))]
                 rows.append((pair, side, f"{side[0]}{r}", rng.choice(["FILE", "METHOD", "METHOD"]), take("ab", 2), take("xyz", 2 if r % 2 else 4) if r else None, take("stuv", 5), "clash"))
-    rows += rows[:2]
+    rows += rows[:2] + [(99, "LEFT", "La", "METHOD", ["a"], ["x", "y", "x"], ["s"], "clash"), (99, "RIGHT", "Ra", "METHOD", ["b"], ["x", "y", "x"], ["t"], "clash")]
     df = spark.createDataFrame(rows, "pair_id long, side string, region_id string, kind string, t1 array<string>, t2 array<string>, stmts array<string>, channel string")
     want = set()
     for p, side, a, ka, t1, t2, st, _ in rows:
