@@ -7,7 +7,9 @@ Words are runs of ``[^\\x20\\x09-\\x0D]``. A word's 64-bit hash is a polynomial
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,26 @@ _RI = pow(_R, -1, 1 << 64)
 _POW: dict[str, np.ndarray] = {}
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Give freed memory back: Python workers wait for further tasks, and those of several stages share an executor."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
+def trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, and release() at a task's end."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: every bit of the input reaches every bit of the output."""
     h = h ^ (h >> np.uint64(33))

@@ -61,6 +61,8 @@ TILE, TILE_SHINGLES = 4096, 2_000_000
 SMALL, BLOCK = 12, 256
 #: Bits of a class's first name, and of a shortening.
 NAME_BITS, SHORT_BITS = 64, 16
+#: Shingles of sets that leave a worker at once.
+HELD = 1 << 18
 #: Ids of documents to verify that are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 
@@ -165,6 +167,7 @@ _SCAN_PA = pa.schema([(x, pa.int64()) for x in ("doc_id", "key", "check", "n", "
 
 
 def _scan(words: int, naming: tuple[int, int]):
+    @_words.trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), words))
@@ -189,6 +192,7 @@ _DEALT_PA = pa.schema([("bucket", pa.int32()), ("names", pa.binary()), ("which",
 
 
 def _deal(words: int, percent: int, naming: tuple[int, int], places: list[int], frequent, counts):
+    @_words.trimmed
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, often, weight, buckets = Bands(percent), frequent.value, counts.value, len(places)
         for batch in batches:
@@ -247,6 +251,7 @@ def bucket_groups(sig: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(([0], np.cumsum(sizes[pick])[:-1])), name[np.repeat(pick, sizes)]
 
 
+@_words.trimmed
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket to one row a bucket: pivot links, and the groups."""
 
@@ -301,6 +306,7 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
             yield batch.column(0)[r].as_py(), starts, np.diff(np.append(starts, len(inside))), inside
 
 
+@_words.trimmed
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row a run: its smallest name, size and two hashes of its content."""
     for bucket, starts, sizes, inside in _opened(batches):
@@ -311,6 +317,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], _RUNS.names)
 
 
+@_words.trimmed
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, starts, sizes, inside in _opened(batches):
         run = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)
@@ -434,6 +441,7 @@ class Place:
 def _spanning(percent: int, forest: bool):
     """Rows (home, i, j, bucket, run, key, label, part, short) in order, a tile's shortenings (bucket null) first, to (home, a, b): pairs of two labels that may be linked, a spanning forest of them or all."""
 
+    @_words.trimmed
     def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(home: int, place: Place) -> Iterator[pa.RecordBatch]:
             if place.found:
@@ -473,11 +481,21 @@ _SETS = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.L
 
 
 def _sets(words: int, bits: int):
+    @_words.trimmed
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(shingle_sets(batch.column(1), words))
+        def rows(keys: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
             short = [np.sort((s >> _U(64 - bits)).astype(np.uint16)).tobytes() for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(short, pa.binary())], _SETS.names)
+            return pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(short, pa.binary())], _SETS.names)
+
+        for batch in batches:
+            found, held, start = [], 0, 0
+            for s in shingle_sets(batch.column(1), words):
+                found.append(s)
+                held += len(s)
+                if held >= HELD:
+                    yield rows(batch.column(0).slice(start, len(found)), found)
+                    found, held, start = [], 0, start + len(found)
+            yield rows(batch.column(0).slice(start), found)
 
     return sets
 
@@ -485,6 +503,7 @@ def _sets(words: int, bits: int):
 def _verify(percent: int, whole: bool):
     """Pairs (home, a, b, set of a, set of b) that are linked, or for shortenings may be."""
 
+    @_words.trimmed
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []

@@ -122,6 +122,29 @@ def cleaned(text: str | None) -> str | None:
     return "\n".join(x for x in text.split("\n") if not (n := len(x.encode().split())) or not line_fails(x, n))
 
 
+@F.arrow_udf(T.StructType([*RESULT.fields, T.StructField("cleaned", T.StringType())]))
+def _judge_and_clean(texts: pa.Array) -> pa.Array:
+    data, offsets = _words.buffers(texts)
+    parts: dict[str, list] = {k: [np.zeros(0, np.int64)] for k in FIELDS}
+    left: list[str | None] = []
+    for i, j in _words.slices(offsets):
+        base, own = offsets[i], texts[i : i + (j - i)].to_pylist()
+        for k, v in _of_slice(data[base : offsets[j]], offsets[i : j + 1] - base, [x or "" for x in own]).items():
+            parts[k].append(v)
+        left.extend(map(cleaned, own))
+    out = pa.StructArray.from_arrays([*(pa.array(np.concatenate(parts[k]).astype(np.int64)) for k in FIELDS), pa.array(left, pa.string())], [*FIELDS, "cleaned"])
+    _words.release()
+    return out
+
+
+def quality_and_text(text: Column) -> Column:
+    """quality() with the text that clean_lines() leaves as one more field, ``cleaned``: one pass in Python for both.
+
+    Declared nondeterministic, which it isn't, so that a filter on it doesn't run it a second time.
+    """
+    return _judge_and_clean.asNondeterministic()(text)
+
+
 @F.arrow_udf(returnType=T.StringType())
 def _clean(texts: pa.Array) -> pa.Array:
     return pa.array(map(cleaned, texts.to_pylist()), pa.string(), size=len(texts))
