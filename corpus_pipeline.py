@@ -33,8 +33,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that fail; n_chars, where there is one, tells the length of what is left."""
     ship(spark)
-    judged = docs.withColumn(_OWN, quality_rules.quality(F.col("text")))
-    cleaned = judged.where(quality_rules.kept(F.col(_OWN))).withColumn("text", quality_rules.clean_lines(F.col("text")))
+    judged = docs.withColumn(_OWN, quality_rules.quality_and_text(F.col("text")))
+    cleaned = judged.where(quality_rules.kept(F.col(_OWN))).withColumn("text", F.col(f"{_OWN}.cleaned"))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*docs.columns)
