@@ -17,6 +17,8 @@ row, so its turns meet in one task by nature; nothing else is gathered.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,32 +91,28 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     rows = flat.select("conv_id", F.struct("turn", "role", "body", "refs").alias("_t"))
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("_t")).alias("t"))
     piece = lambda x: F.concat(F.lit(OPEN), escape_role(x["role"]), F.lit("\n"), x["body"], F.lit(CLOSE))
-    marked = chats.select(
+    # Spans start where the turns before them end: blocks of about the root of the turns' number keep a long conversation from costs of its square.
+    sized = chats.withColumn("n", F.transform("t", lambda x: F.length(piece(x)))).withColumn("w", F.ceil(F.sqrt(F.size("n"))).cast("int"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size("n") - 1) / F.col("w")).cast("int"))
+    sized = sized.withColumn("sums", F.transform(blocks, lambda k: F.aggregate(F.slice("n", k * F.col("w") + 1, F.col("w")), F.lit(0), lambda a, x: a + x)))
+    before = running_ends(F.col("n"), F.col("w"), F.col("sums"))
+    span = lambda x, i: F.struct((before(i) + len(OPEN) + F.length(escape_role(x["role"])) + 2).alias("start"), F.length(x["body"]).alias("chars"))
+    marked = sized.select(
         "conv_id",
         F.array_join(F.transform("t", piece), "").alias("formatted"),
-        # one pass: the running end of the text so far, and the spans under the mask
-        F.aggregate(
-            "t",
-            F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,chars:int>>").alias("spans")),
-            lambda acc, x: F.struct(
-                (acc["end"] + F.length(piece(x))).alias("end"),
-                F.when(
-                    x["role"] == "assistant",
-                    F.concat(
-                        acc["spans"],
-                        F.array(F.struct((acc["end"] + len(OPEN) + F.length(escape_role(x["role"])) + 2).alias("start"), F.length(x["body"]).alias("chars"))),
-                    ),
-                )
-                .otherwise(acc["spans"])
-                .alias("spans"),
-            ),
-            lambda acc: acc["spans"],
-        ).alias("loss_spans"),
+        F.filter(F.transform("t", lambda x, i: F.when(x["role"] == "assistant", span(x, i))), lambda x: x.isNotNull()).alias("loss_spans"),
         F.flatten(F.transform("t", lambda x: F.transform(x["refs"], lambda r: F.struct(x["turn"].alias("turn"), r["kind"].alias("kind"), r["ref"].alias("ref"), r["tokens"].alias("tokens"))))).alias("attachments"),
     )
     return marked.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, r: a + r["tokens"]))
 
 
+def running_ends(lengths: Column, width: Column, sums: Column) -> Callable[[Column], Column]:
+    """What lies before place i (from 0) of an array of lengths, told by the sums of its blocks of ``width`` lengths before i's and the lengths before i in its own block."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    block = lambda i: F.floor(i / width).cast("int")
+    return lambda i: total(F.slice(sums, F.lit(1), block(i))) + total(F.slice(lengths, block(i) * width + 1, i - block(i) * width))
+
+
 def parse_turns(formatted: Column) -> Column:
     """The turns of a formatted text as array<struct<role, text>>, unescaped."""
     bodies = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda x: x != "")

@@ -1,13 +1,15 @@
 """A structural front end for Java-like sources: types, methods, statements and their regions as nodes.
 
 A recovering parser over the token stream: braces, parentheses and semicolons give the structure, a few keywords the
-kinds. It never fails on a text with tokens; unbalanced ends close at the end of the text.
+kinds. It never fails on a text; unbalanced ends close at the end of the text, and nesting may be of any depth.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
 from dataclasses import dataclass, field
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -44,7 +46,24 @@ def tokens(source: str) -> list[tuple[str, int]]:
     return out
 
 
+def walk(step: Generator) -> Any:
+    """The result of a generator that yields generators for its parts and is sent their results."""
+    stack, value = [step], None
+    while stack:
+        try:
+            part = stack[-1].send(value)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+        else:
+            stack.append(part)
+            value = None
+    return value
+
+
 class Parser:
+    """member(), block() and statement() are generators for walk()."""
+
     def __init__(self, source: str):
         self.t = tokens(source)
         self.i = 0
@@ -55,7 +74,7 @@ class Parser:
             if self.t[self.i][0] == "}":
                 self.i += 1
             else:
-                root.kids.append(self.member())
+                root.kids.append(walk(self.member()))
         return root
 
     def _close(self, node: Node) -> Node:
@@ -63,64 +82,68 @@ class Parser:
         node.end = self.t[min(self.i, len(self.t)) - 1][1] if self.t else node.begin
         return node
 
-    def member(self) -> Node:
+    def member(self) -> Generator:
         """A type, method, field or import at the cursor."""
         start, depth, paren = self.i, 0, -1
+        seen, places = start, {}  # the first places of the words that decide, up to the cursor
         node = Node("FieldDeclaration", self.t[start][1], first=start)
         while self.i < len(self.t):
             tok = self.t[self.i][0]
             if tok == "(" and depth == 0 and paren < 0:
                 paren = self.i
             depth += (tok == "(") - (tok == ")")
-            head = [x for x, _ in self.t[start : self.i]]
             if depth <= 0 and tok in ("{", ";", "}"):
-                kind = next((k for k in TYPES if k in head), None)
-                if tok == "{" and kind and "=" not in head:
+                for at in range(seen, self.i):
+                    if self.t[at][0] in ("=", *TYPES):
+                        places.setdefault(self.t[at][0], at)
+                seen = self.i
+                kind = next((k for k in TYPES if k in places), None)
+                if tok == "{" and kind and "=" not in places:
                     node.label = "ClassOrInterfaceDeclaration" if kind in ("class", "interface") else f"{kind.title()}Declaration"
-                    node.name = head[head.index(kind) + 1] if head.index(kind) + 1 < len(head) else ""
+                    node.name = self.t[places[kind] + 1][0] if places[kind] + 1 < self.i else ""
                     self.i += 1
                     while self.i < len(self.t) and self.t[self.i][0] != "}":
-                        node.kids.append(self.member())
+                        node.kids.append((yield self.member()))
                     self.i += 1
                     return self._close(node)
-                if paren > start and "=" not in head[: paren - start] and tok in "{;":
+                if paren > start and places.get("=", paren) >= paren and tok in "{;":
                     node.label, node.name = "MethodDeclaration", self.t[paren - 1][0]
                     if tok == "{":
-                        node.kids.append(self.block())
+                        node.kids.append((yield self.block()))
                     else:
                         self.i += 1
                     return self._close(node)
                 if tok == "{":
-                    self.block()
+                    yield self.block()
                     continue
                 if tok == "}":
                     return self._close(node)
                 self.i += 1
-                if head and head[0] in ("import", "package"):
-                    node.label = f"{head[0].title()}Declaration"
+                if self.i > start + 1 and self.t[start][0] in ("import", "package"):
+                    node.label = f"{self.t[start][0].title()}Declaration"
                 return self._close(node)
             self.i += 1
         return self._close(node)
 
-    def block(self) -> Node:
+    def block(self) -> Generator:
         node = Node("BlockStmt", self.t[self.i][1], first=self.i)
         self.i += 1
         while self.i < len(self.t) and self.t[self.i][0] != "}":
-            node.kids.append(self.statement())
+            node.kids.append((yield self.statement()))
         self.i += 1
         return self._close(node)
 
-    def statement(self) -> Node:
+    def statement(self) -> Generator:
         tok, line = self.t[self.i]
         if tok == "{":
-            return self.block()
+            return (yield self.block())
         node = Node(CONTROL.get(tok) or SIMPLE.get(tok) or "ExpressionStmt", line, first=self.i)
         if tok in CONTROL:
             self.i += 1
             if self.i < len(self.t) and self.t[self.i][0] == "(":
                 self._skip()
             if self.i < len(self.t):
-                node.kids.append(self.statement())
+                node.kids.append((yield self.statement()))
             while self.i < len(self.t) and (self.t[self.i][0] in ("catch", "finally") and tok == "try" or self.t[self.i][0] == "else" and tok == "if" or self.t[self.i][0] == "while" and tok == "do"):
                 word = self.t[self.i][0]
                 self.i += 1
@@ -129,7 +152,7 @@ class Parser:
                 if word == "while":
                     self.i += self.i < len(self.t) and self.t[self.i][0] == ";"
                 elif self.i < len(self.t):
-                    node.kids.append(self.statement())
+                    node.kids.append((yield self.statement()))
             return self._close(node)
         depth = 0
         while self.i < len(self.t):
@@ -164,16 +187,17 @@ _NODE_PA = pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("ordi
 def flatten(source: str) -> list[dict]:
     """Nodes of a source in pre-order."""
     parser, out = Parser(source), []
-
-    def visit(node: Node, parent: int | None, ordinal: int, depth: int, inside: bool) -> int:
-        row = {"node_id": len(out), "parent_id": parent, "ordinal": ordinal, "depth": depth, "label": node.label, "name": node.name, "begin_line": node.begin, "end_line": node.end, "in_method": inside}
+    todo: list[tuple[Node, int | None, int, int, bool]] = [(parser.parse(), None, 0, 0, False)]
+    while todo:
+        node, parent, ordinal, depth, inside = todo.pop()
+        at = len(out)
+        row = {"node_id": at, "parent_id": parent, "ordinal": ordinal, "depth": depth, "label": node.label, "name": node.name, "begin_line": node.begin, "end_line": node.end, "in_method": inside, "subtree_size": 1}
         row["tokens"] = [t for t, _ in parser.t[node.first : node.last]] if not node.kids else []
         out.append(row)
-        size = 1 + sum(visit(k, row["node_id"], i, depth + 1, inside or node.label == "MethodDeclaration") for i, k in enumerate(node.kids))
-        row["subtree_size"] = size
-        return size
-
-    visit(parser.parse(), None, 0, 0, False)
+        within = inside or node.label == "MethodDeclaration"
+        todo.extend((k, at, i, depth + 1, within) for i, k in reversed(list(enumerate(node.kids))))
+    for row in reversed(out[1:]):
+        out[row["parent_id"]]["subtree_size"] += row["subtree_size"]
     return out
 
 
