@@ -27,8 +27,21 @@ _POW: dict[str, np.ndarray] = {}
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 
+_KEPT: list[Callable[[], None]] = []
+
+
+def kept(cached):
+    """An lru_cache that workers keep between their operator's tasks, and that release() in another operator's task empties."""
+    _KEPT.append(cached.cache_clear)
+    return cached
+
+
 def release() -> None:
-    """Give freed memory back: Python workers wait for further tasks, and those of several stages share an executor."""
+    """Give memory back: Python workers wait for further tasks, and those of several stages share an executor."""
+    for clear in _KEPT:
+        clear()
+    if _POW and len(_POW["p"]) > SLICE + (SLICE >> 3):
+        _POW.clear()  # grown for a very long text
     pa.default_memory_pool().release_unused()
     _TRIM(0)
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinloom.llm import _words
 from kinloom.runtime import ship
 
 #: Pre-tokens in a cache generation (a text may exceed it by its own ones); two generations at most, some 250 bytes an entry.
@@ -143,6 +144,7 @@ class Codec:
         return b"".join([self.tokens[i] for i in ids])
 
 
+@_words.kept
 @lru_cache(maxsize=2)
 def _codec(vocabulary: bytes, pattern: str) -> Codec:
     return Codec(vocabulary, pattern)

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinloom.llm import _words
 from kinloom.runtime import ship
 
 BITS, PER_LANGUAGE, CALIBRATE = 14, 600, 5
@@ -191,6 +192,7 @@ def predict_column(text: Column, model: Model) -> Column:
     return F.arrow_udf(predict, _PREDICTED)(text)
 
 
+@_words.kept
 @lru_cache(maxsize=2)
 def _loaded(packed: bytes) -> Model:
     return Model(*pickle.loads(packed))

@@ -265,3 +265,19 @@ def test_languages_of_held_out_documents(spark):
     assert len(rows) > 150 and right.mean() >= 0.9
     error = sum(abs(right[own].mean() - score[own].mean()) * own.mean() for k in range(10) if (own := (score >= k / 10) & (score < (k + 1) / 10 + (k == 9))).any())
     assert error < 0.1
+
+
+def test_release_empties_other_operators_caches():
+    from functools import lru_cache
+
+    from kinloom.llm import _words
+
+    calls = []
+    held = _words.kept(lru_cache(maxsize=1)(lambda: calls.append(1)))
+    held(), held()
+    _words._powers(_words.SLICE * 2)
+    _words.release()
+    held()
+    assert len(calls) == 2 and not _words._POW
+    assert len(_words._powers(10)[0]) == _words.SLICE + (_words.SLICE >> 3)
+    _words._KEPT.pop()
