@@ -120,15 +120,15 @@ def edge_preservation(spark, d):
     return rounded(programs.edge_preservation(m, e.where("kind = 'T' or src < dst").distinct(), e.where("kind = 'F' or src < dst").distinct()))
 
 
-@query(f"""WITH {_I}, a AS (SELECT method_id AS region, category AS op, CASE pos % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 1.0 END AS g FROM i WHERE method_id % 4 <> 0 AND pos <= 4), p AS (SELECT region, count(*) FILTER (WHERE op NOT IN ('RETURN', 'CONSTANT', 'OTHER')) AS n, min(g) FILTER (WHERE op NOT IN ('RETURN', 'CONSTANT', 'OTHER')) AS least FROM a GROUP BY region),
-  t AS (SELECT method_id AS region, count(*) FILTER (WHERE pos <= 4 AND category NOT IN ('RETURN', 'CONSTANT', 'OTHER')) AS l, count(*) FILTER (WHERE pos <= 4 + method_id % 3 AND category NOT IN ('RETURN', 'CONSTANT', 'OTHER')) AS r FROM i GROUP BY method_id),
+@query(f"""WITH {_I}, a AS (SELECT method_id AS region, category AS op, CASE pos % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 1.0 END AS g FROM i), p AS (SELECT region, count(*) FILTER (WHERE op NOT IN ('RETURN', 'CONSTANT', 'OTHER')) AS n, min(g) FILTER (WHERE op NOT IN ('RETURN', 'CONSTANT', 'OTHER')) AS least FROM a GROUP BY region),
+  t AS (SELECT method_id AS region, count(*) FILTER (WHERE category NOT IN ('RETURN', 'CONSTANT', 'OTHER')) AS l, count(*) FILTER (WHERE category NOT IN ('RETURN', 'CONSTANT', 'OTHER')) + method_id % 5 AS r FROM i GROUP BY method_id),
   j AS (SELECT t.region, l, r, coalesce(n, 0) AS n, least, CASE WHEN coalesce(n, 0) = 0 OR greatest(l, r) = 0 THEN 0 ELSE n / greatest(l, r) END AS share FROM t LEFT JOIN p USING (region))
   SELECT region, round(share, 6) AS share, l > n OR r > n AS edits, CASE WHEN share < 0.5 THEN 'NONE' WHEN NOT (l > n OR r > n) AND least >= 0.999 THEN 'T1' WHEN NOT (l > n OR r > n) AND least >= 0.79 THEN 'T2' ELSE 'T3' END AS type FROM j""")
 def aligned_region_types(spark, d):
     i = instructions(spark, d)
     own = F.col("category").isin(*programs.SUBSTANTIVE)
-    aligned = i.where("method_id % 4 <> 0 and pos <= 4").select(F.col("method_id").alias("region"), F.col("category").alias("op"), F.when(F.col("pos") % 3 == 1, 0.8).otherwise(1.0).alias("agreement"))
-    totals = i.groupBy(F.col("method_id").alias("region")).agg(F.count_if(own & (F.col("pos") <= 4)).alias("left_total"), F.count_if(own & (F.col("pos") <= 4 + F.col("method_id") % 3)).alias("right_total"))
+    aligned = i.select(F.col("method_id").alias("region"), F.col("category").alias("op"), F.when(F.col("pos") % 3 == 1, 0.8).otherwise(1.0).alias("agreement"))
+    totals = i.groupBy(F.col("method_id").alias("region")).agg(F.count_if(own).alias("left_total"), (F.count_if(own) + F.col("method_id") % 5).alias("right_total"))
     return rounded(programs.aligned_types(aligned, totals).select("region", "share", "edits", "type"))
 
 
