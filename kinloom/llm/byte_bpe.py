@@ -40,6 +40,7 @@ class Codec:
     def __init__(self, vocabulary: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.tokens = {v: k for k, v in self.ranks.items()}
+        self.names = {v: str(v) for v in self.tokens}
         self.longest = max(map(len, self.ranks))
         # The pattern's \s is White_Space; this engine's own \s has four control characters more.
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
@@ -141,7 +142,7 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 @_words.kept
@@ -187,7 +188,7 @@ def digest_column(text: Column, vocabulary: bytes, pattern: str) -> Column:
         for x in texts:
             ids = codec.encode(x.as_py() or "")
             counts.append(len(ids))
-            of_ids.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            of_ids.append(hashlib.sha256(" ".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
             of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
