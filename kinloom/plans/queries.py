@@ -174,8 +174,7 @@ def doc_jaccard(spark, d):
 
 @query(f"WITH {_PAIRSQL} SELECT left_id, right_id, i AS inter, round(cont_left, 6) AS cont_left, round(cont_right, 6) AS cont_right FROM pairs WHERE greatest(cont_left, cont_right) >= 0.3")
 def doc_containment(spark, d):
-    found = fingerprint.fingerprint_pairs(prints(spark, d)).where(F.greatest("cont_left", "cont_right") >= 0.3)
-    return rounded(found.select("left_id", "right_id", "inter", "cont_left", "cont_right"))
+    return rounded(fingerprint.containment_pairs(fingerprint.fingerprint_sets(docs(ship(spark), d), K, W), 0.3))
 
 
 @query()

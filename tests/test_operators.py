@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kinloom import sources, streaming
 from kinloom.functions import hashing, lexical
 from kinloom.operators import fingerprint, graphs, neighbours, regions, semantic, sequence, syntax
+from kinloom.plans import queries
 
 
 def plain_lcs(a, b):
@@ -296,3 +297,31 @@ def test_source_scans_are_all_pairs(spark):
     assert not set(got) ^ want, (sorted(set(got) - want)[:3], sorted(want - set(got))[:3])
     assert {x[3] for x in want} == set(regions.SOURCE_CHANNELS)
     assert regions.source_scans(df.limit(0)).collect() == []
+
+
+def test_containment_without_rows_for_words_or_lesser_pairs(spark, tmp_path):
+    """All pairs from 0.3 on, as the join of all pairs gives them, with a passage that most documents share; neither words nor lesser pairs are rows of the plan."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 4) + str(rng.randint(0, 60)) for _ in range(n))
+    common, texts = prose(14), ["", None, "one two", "a b c d e f", "a b c d e f", "é ü\n x  y  z w v"]
+    for i in range(120):
+        texts.append(" ".join([prose(rng.choice([0, 3, 8, 30, 200])), common if i % 3 else "", rng.choice([x for x in texts if x])]))
+    rows = [(7 * i % 1000, x) for i, x in enumerate(texts)]
+    df = spark.createDataFrame([*rows, (None, texts[-1])], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    words = fingerprint.explode_tokens(df.where("doc_id is not null"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([^ ]+)"), F.lit(1)))
+    plain = fingerprint.fingerprint_pairs(fingerprint.winnow(fingerprint.kgrams(words, queries.K), queries.W)).where("greatest(cont_left, cont_right) >= 0.3")
+    want = sorted((r["left_id"], r["right_id"], r["inter"], round(r["cont_left"], 6), round(r["cont_right"], 6)) for r in plain.collect())
+    found = queries.doc_containment(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 500
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Aggregate [left_id" not in plan and "posexplode" not in plan
+
+
+def test_containment_keys(spark):
+    """Text keys, repeated keys as one set, an empty set."""
+    rows = [("b", [1, 2, 3]), ("a", [1, 2, 3, 4, 5, 6, 7]), ("é", []), ("c", [7, 8, 9, 10]), ("d", [3])]
+    got = sorted(map(tuple, fingerprint.containment_pairs(spark.createDataFrame(rows, "doc_id string, hashes array<long>"), 0.3).collect()))
+    assert got == [("a", "b", 3, 3 / 7, 1.0), ("a", "d", 1, 1 / 7, 1.0), ("b", "d", 1, 1 / 3, 1.0)]
+    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (2, "g h i j k l")], "doc_id long, text string")
+    assert sorted((r[0], len(r[1])) for r in fingerprint.fingerprint_sets(twice, 6, 5).collect()) == [(1, 2), (2, 1)]
