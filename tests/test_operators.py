@@ -325,3 +325,31 @@ def test_containment_keys(spark):
     assert got == [("a", "b", 3, 3 / 7, 1.0), ("a", "d", 1, 1 / 7, 1.0), ("b", "d", 1, 1 / 3, 1.0)]
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (2, "g h i j k l")], "doc_id long, text string")
     assert sorted((r[0], len(r[1])) for r in fingerprint.fingerprint_sets(twice, 6, 5).collect()) == [(1, 2), (2, 1)]
+
+
+def test_nearest_makes_no_rows_of_all_pairs(spark, monkeypatch):
+    """Cells against brute force: copies, nearly equal vectors, one dimension without spread, odd numbers; the plan joins no pairs."""
+    monkeypatch.setattr(neighbours, "CELL", 40)
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(900, 3)) * [1, 5, 0], 1) + rng.choice([0, 1e-15], size=(900, 3))
+    v[100:200] = v[99]
+    v[300:400] = rng.normal(size=(100, 3))
+    for odd in (False, True):
+        if odd:
+            v = v[:300].copy()
+            v[7], v[8] = np.inf, np.nan
+        n, k = len(v), 5
+        df = spark.createDataFrame([(int(i * 7 % 907), [float(y) for y in x]) for i, x in enumerate(v)], "item_id long, v array<double>")
+        ids = np.array([i * 7 % 907 for i in range(n)])
+        found = neighbours.nearest(df.unionByName(df.limit(1).selectExpr("cast(null as long) as item_id", "v")), df, k)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "_salt" not in plan
+        assert {r["query_id"] for r in neighbours.nearest(df.where("item_id < 3"), df, k).collect()} == {0, 1, 2}
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: r["place"]):
+            got.setdefault(r["query_id"], []).append((r["item_id"], r["place"]))
+        with np.errstate(invalid="ignore"):
+            far = np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2)), 9)
+        for i in range(n):
+            order = [ids[j] for j in np.lexsort((ids, far[i])) if j != i][:k]
+            assert got[ids[i]] == [(x, p + 1) for p, x in enumerate(order)], (i, v[i])
