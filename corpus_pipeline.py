@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kinloom.llm import byte_bpe, jaccard_join, language_id, quality_rules, source_mix
 from kinloom.llm._store import discard, materialize
-from kinloom.runtime import ship
+from kinloom.runtime import settle, ship
 
 _OWN = "_kinloom_verdict"
 
@@ -42,7 +42,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shingle similarity links: the one with the smallest id."""
-    ship(spark)
+    settle(ship(spark))
     groups = jaccard_join.jaccard_components(docs)
     keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias(_OWN)).distinct()
     kept = docs.join(keep, F.col("doc_id") == F.col(_OWN), "left_semi").dropDuplicates(["doc_id"])
@@ -51,6 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: documents repeated or left out so that sources meet their target weights."""
+    settle(spark)
     return source_mix.mix_sources(docs)
 
 
@@ -58,7 +59,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document of the mixture."""
     import public_tokenizers
 
-    ship(spark)
+    settle(ship(spark))
     return byte_bpe.tokenize(docs, byte_bpe.load_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 

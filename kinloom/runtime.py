@@ -23,3 +23,10 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         _SHIPPED.add(context.applicationId)
     return spark
+
+
+def settle(spark: SparkSession) -> SparkSession:
+    """Let executors collect their garbage, which gives heap that an earlier stage has grown back to the machine; Python workers of the next one need it. A few tasks of one row."""
+    n = 4 * max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+    return spark

@@ -281,3 +281,17 @@ def test_release_empties_other_operators_caches():
     assert len(calls) == 2 and not _words._POW
     assert len(_words._powers(10)[0]) == _words.SLICE + (_words.SLICE >> 3)
     _words._KEPT.pop()
+
+
+def test_stages_give_heap_back(spark, monkeypatch):
+    """A stage that needs memory outside the heap first lets executors collect: one collection at least (local mode has one executor)."""
+    import corpus_pipeline
+    from kinloom import runtime
+
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = beans()
+    assert runtime.settle(spark) is spark and beans() > before
+    called = []
+    monkeypatch.setattr(corpus_pipeline, "settle", lambda s: called.append(1) or s)
+    docs = spark.createDataFrame([(1, "a b c", "en", "x")], "doc_id long, text string, lang string, source string")
+    assert corpus_pipeline.tokenize(spark, docs, "").count() == 1 and called
