@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from kinloom.runtime import ship
-from kinloom.store import materialize
+from kinloom.store import discard, materialize, release
 
 #: Vectors of a cell, about; rows whose values place the cells' borders, at most; distances held at once.
 CELL, SAMPLE, BLOCK = 1024, 100_000, 1 << 20
@@ -24,8 +24,9 @@ def standardise(long: DataFrame, item: str = "item_id") -> DataFrame:
 
     Absent values are not materialised for the statistics: they are zeros, so sums over present rows and the number of
     items suffice. The result is sparse too: what a missing value would be is ``missing`` beside each feature.
+    ``long`` is read once, into a table that discard() of the result removes.
     """
-    logged = long.groupBy(item, "feature").agg(F.sum("value").alias("value")).withColumn("x", F.log10(F.col("value") + 1))
+    logged = materialize(long.groupBy(item, "feature").agg(F.sum("value").alias("value")).select(item, "feature", F.log10(F.col("value") + 1).alias("x")), "logged")
     n = logged.select(F.countDistinct(item).alias("n"))
     stats = logged.groupBy("feature").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).join(F.broadcast(n))
     mean = F.col("s") / F.col("n")
@@ -76,8 +77,8 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
 
 
-def _closest(asked: np.ndarray, held: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of asked, row of held, distance) of the k nearest, in order, ties to the earlier row of held."""
+def _closest(asked: np.ndarray, held: np.ndarray, k: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of asked, row of held, distance) of the k nearest that lie within reach, in order, ties to the earlier row of held."""
     found, n = [], len(held)
     for s in range(0, len(asked) if n else 0, step := max(1, BLOCK // max(n, 1))):
         part = asked[s : s + step]
@@ -88,11 +89,12 @@ def _closest(asked: np.ndarray, held: np.ndarray, k: int) -> tuple[np.ndarray, n
             far = np.sqrt(total)
             scaled = far * 1e9
             far = np.where(scaled < 2.0**52, np.floor(scaled + 0.5) / 1e9, far)
-        if n > k:
-            last = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
-            row, col = np.nonzero(~(far > last) | np.isnan(last))
-        else:
-            row, col = (x.ravel() for x in np.indices(far.shape))
+        near = ~(far > reach[s : s + step, None])
+        many = np.flatnonzero(near.sum(axis=1) > k)
+        if len(many):
+            last = np.partition(far[many], k - 1, axis=1)[:, k - 1 : k]
+            near[many] &= ~(far[many] > last) | np.isnan(last)
+        row, col = np.nonzero(near)
         d = far[row, col]
         order = np.lexsort((col, d, row))
         row, col, d = row[order], col[order], d[order]
@@ -113,7 +115,7 @@ def _place(tree: list[tuple[int, float]]) -> Callable[[Iterator[pa.RecordBatch]]
 
 
 def _visit(leaves: int, boxes: dict[int, tuple[list[float], list[float]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (v, cell, reach) to (v, cell) of each further cell whose box is within reach, down the tree."""
+    """From (v, cell, reach) to (v, cell, reach) of each further cell whose box is within reach, down the tree."""
     dims = len(next(iter(boxes.values()))[0])
     low, high = np.full((2 * leaves - 1, dims), np.nan), np.full((2 * leaves - 1, dims), np.nan)
     empty = np.ones(2 * leaves - 1, bool)
@@ -141,18 +143,18 @@ def _visit(leaves: int, boxes: dict[int, tuple[list[float], list[float]]]) -> Ca
                 rows = rows[home[rows] != node - leaves + 1]
                 for s in range(0, len(rows), 10_000):
                     some = rows[s : s + 10_000]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(np.full(len(some), node - leaves + 1), pa.int64())], ["v", "cell"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(np.full(len(some), node - leaves + 1), pa.int64()), pa.array(reach[some])], ["v", "cell", "reach"])
 
     return run
 
 
 def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """(v, found) for the vectors that ask in a cell and the items in it; found: ids and distances in order."""
+    """(v, cell, found) for the vectors that ask in a cell and the items in it; found: ids and distances in order, none beyond the vector's reach."""
 
     def run(asking: pa.Table, items: pa.Table) -> pa.Table:
         items = items.sort_by("id")
         asked, held = _matrix(asking["v"]), _matrix(items["v"])
-        row, col, far = _closest(asked, held, k)
+        row, col, far = _closest(asked, held, k, asking["reach"].to_numpy())
         offsets = pa.array(np.searchsorted(row, np.arange(len(asked) + 1)), pa.int32())
         ids = items["id"].combine_chunks().take(pa.array(col))
         found = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(far), ids], ["distance", "id"]))
@@ -176,20 +178,22 @@ def _everywhere(queries: DataFrame, items: DataFrame, k: int, item: str, vector:
     depth = max(0, -(-total // CELL) - 1).bit_length()
     tree = _borders(rows, depth) if rows.size else []
     placed = lambda df: df.mapInArrow(_place(tree), T.StructType([*df.schema.fields, T.StructField("cell", T.LongType())]))
-    held = materialize(placed(held), "cells")
-    asked = placed(whole(queries).select("v").distinct())
+    dealt, held = held, materialize(placed(held), "cells")
+    discard(dealt)
+    asked = placed(whole(queries).select("v").distinct()).withColumn("reach", F.lit(float("inf")))
     found = T.ArrayType(T.StructType([T.StructField("distance", T.DoubleType()), T.StructField("id", kind)]))
     schema = T.StructType([T.StructField("v", array), T.StructField("cell", T.LongType()), T.StructField("found", found)])
     search = lambda asking: asking.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(_search(k + 1), schema)
     home = materialize(search(asked), "home")
+    release(spark)
     width = len(rows[0]) if len(rows) else 0
     bounds = [f(F.col("v")[i]).alias(f"{n}{i}") for i in range(width) for n, f in (("low", F.min), ("high", F.max))]
     boxes = {r["cell"]: ([r[f"low{i}"] for i in range(width)], [r[f"high{i}"] for i in range(width)]) for r in held.groupBy("cell").agg(F.count("*"), *bounds).collect()}
     if len(boxes) > 1 or (boxes and tree):
         last = F.when(F.size("found") > k, F.element_at("found", -1)["distance"])
         reach = F.when(last.isNull() | F.isnan(last), F.lit(float("inf"))).otherwise(last)
-        visits = home.select("v", "cell", reach.alias("reach")).mapInArrow(_visit(len(tree) + 1, boxes), T.StructType(schema.fields[:2]))
-        home = home.unionByName(search(visits))
+        visits = home.select("v", "cell", reach.alias("reach")).mapInArrow(_visit(len(tree) + 1, boxes), T.StructType([*schema.fields[:2], T.StructField("reach", T.DoubleType())]))
+        home = home.unionByName(search(visits).where(F.size("found") > 0))
     near = home.groupBy("v").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
     others = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
     out = whole(queries).select("v", F.col("id").alias("query_id")).join(near, "v").select("query_id", F.posexplode(others).alias("at", "x"))

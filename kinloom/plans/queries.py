@@ -12,7 +12,7 @@ from kinloom.functions import hashing, lexical, report
 from kinloom.operators import evaluation, fingerprint, graphs, neighbours, pairs, regions, semantic, sequence, syntax
 from kinloom.plans.fixtures import load, with_
 from kinloom.runtime import ship
-from kinloom.store import materialize
+from kinloom.store import discard, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -502,9 +502,13 @@ def standardize(spark, d):
 
 
 def item_vectors(spark, d):
-    s = neighbours.standardise(load(spark, d, "features"))
+    logged = neighbours.standardise(load(spark, d, "features"))
+    s = materialize(logged, "standard")
+    discard(logged)
     names = sorted(r["feature"] for r in s.select("feature").distinct().collect())
-    return materialize(neighbours.vectors(s, names), "vectors")
+    v = materialize(neighbours.vectors(s, names), "vectors")
+    discard(s)
+    return v
 
 
 @query(_STD + """, p AS (SELECT a.item_id AS query_id, b.item_id, round(sqrt(sum((a.z - b.z) ** 2)), 9) AS distance FROM z a JOIN z b ON a.feature = b.feature AND a.item_id <> b.item_id GROUP BY ALL),

@@ -31,8 +31,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which shuffles are done with; else their files stay until the driver's heap fills."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
-    """Remove a table of materialize() that nothing reads any more, and let Spark's cleaner see which shuffles are done with."""
+    """Remove a table of materialize() that nothing reads any more, and the shuffles that are done with."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -40,4 +45,4 @@ def discard(df: DataFrame) -> None:
         folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
         if "/kinloom-" in folder.toString():
             folder.getFileSystem(conf).delete(folder, True)
-    jvm.System.gc()
+    release(spark)

@@ -1,12 +1,14 @@
 """Operators without SQL counterpart against plain versions, and invariants."""
 
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom import sources, streaming
+from kinloom import sources, store, streaming
 from kinloom.functions import hashing, lexical
 from kinloom.operators import fingerprint, graphs, neighbours, regions, semantic, sequence, syntax
 from kinloom.plans import queries
@@ -358,3 +360,23 @@ def test_nearest_makes_no_rows_of_all_pairs(spark, monkeypatch):
 def test_method_score_searches_cells(spark):
     """The score's neighbours come from the cells; no join of all pairs is planned."""
     assert "_salt" not in queries.knn_method_score(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_features_are_read_once_and_tables_go(spark, tmp_path):
+    """The z-scores rest on a table, not on the long input again; of the score's tables only those that its result reads stay."""
+    features = spark.createDataFrame([(i, f, float(i * j % 7)) for i in range(9) for j, f in enumerate("ab", 1)], "item_id long, feature string, value double")
+    features.write.parquet(str(tmp_path / "long"))
+    z = neighbours.standardise(spark.read.parquet(str(tmp_path / "long")))
+    assert z.inputFiles() and not any(str(tmp_path) in f for f in z.inputFiles()) and z.count() == 18
+    here = lambda: set(Path(store.shared_dir(spark)).glob("kinloom-*/*"))
+    before = here()
+    assert queries.knn_method_score(spark, "/root/testdata/sf0.001").count() > 0
+    assert sorted(p.name for p in here() - before) == ["cells", "home", "vectors"]
+
+
+def test_visits_bring_back_only_what_lies_within_reach():
+    """A vector that visits a cell gets the items up to its reach, ties included, and at most k; at home, where reach is infinite, the k nearest."""
+    items = pa.table({"id": [5, 3, 4, 9], "v": [[0.0], [1.0], [1.0], [7.0]], "cell": [0, 0, 0, 0]})
+    asking = pa.table({"v": [[2.0], [2.0], [2.0], [-9.0], [2.0]], "cell": [0] * 5, "reach": [1.0, 0.5, 5.0, 9.0, np.inf]})
+    found = neighbours._search(3)(asking, items)["found"].to_pylist()
+    assert [[x["id"] for x in f] for f in found] == [[3, 4], [], [3, 4, 5], [5], [3, 4, 5]]
